@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .exactdedup import exact_groups
 
 
@@ -29,5 +30,21 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ',
 WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_exact_dedup": op7_exact_dedup}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    vocabulary = (tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", bpe_encode("text", docs, *vocabulary).alias("ids"))
+    coded = coded.withColumn("decoded", bpe_decode("ids", coded, *vocabulary))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+}
 ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
