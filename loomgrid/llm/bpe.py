@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import send, text_chunks
 
 NONE = np.iinfo(np.int64).max
 #: Encoded pieces remembered by one Python worker; the table starts anew when full.
@@ -217,7 +217,7 @@ def _vocabulary(path: str) -> bytes:
 
 def bpe_encode(text: str, df: DataFrame, path: str, pattern: str) -> Column:
     """A column of arrays of ids for one text column of df; the file is read on the driver and sent once."""
-    held = df.sparkSession.sparkContext.broadcast((_vocabulary(path), pattern))
+    held = send(df, (_vocabulary(path), pattern))
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -235,7 +235,7 @@ def bpe_encode(text: str, df: DataFrame, path: str, pattern: str) -> Column:
 
 def bpe_decode(ids: str, df: DataFrame, path: str, pattern: str) -> Column:
     """A binary column: the bytes that a column of arrays of ids stands for; null reads as empty."""
-    held = df.sparkSession.sparkContext.broadcast((_vocabulary(path), pattern))
+    held = send(df, (_vocabulary(path), pattern))
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named or DEFAULT_CHECKPOINT_DIR
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the Python workers of every executor, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[2]
+        package = Path(__file__).resolve().parents[1].name
+        folder = os.path.realpath(tempfile.mkdtemp(prefix=package))  # the driver serves it from there until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = f"{folder}/{package}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted((root / package).rglob("*.py")):
+                z.write(source, source.relative_to(root))
+        sc.addPyFile(target)
+    return spark
+
+
+def send(df: DataFrame, value: object):
+    """A broadcast of a value of bounded size for the Python workers that run functions of this package."""
+    return ship(df.sparkSession).sparkContext.broadcast(value)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, removed on exit: nothing returned may read from it."""
@@ -183,7 +214,7 @@ def bloom(keys: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
 
 def in_bloom(df: DataFrame, table: np.ndarray, col: str) -> DataFrame:
     """The rows of df whose key may be in the filter; no row that is in it is lost."""
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = send(df, table)
     bits = len(table) * 32
     h = [F.pmod(F.xxhash64(F.col(col).cast("long"), F.lit(seed)), F.lit(bits)) for seed in (1, 2, 3)]
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exactdedup import exact_groups
+from .langid import predict_language, train_language_model
+from .mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +45,50 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         -ln((('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         / CASE WHEN length(t) = 0 THEN 1.0
+                ELSE greatest(0.05, length(regexp_replace(t, '[!-@\[-`{-~]', '', 'g'))::DOUBLE / length(t)) END AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight,
+             source_size * 2.0::DOUBLE AS most FROM s),
+f AS (SELECT *, most / weight AS full_at FROM w),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+                 - coalesce(sum(most) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+g AS (SELECT *, least(most, weight * coalesce((SELECT arg_min(level, full_at) FROM l WHERE level <= full_at), 'inf'::DOUBLE)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+o AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS room,
+             sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN upto <= room OR (upto - size < room AND upto - room < room - upto + size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = train_language_model(docs.where(~F.coalesce(held_out, F.lit(False))))
+    out = docs.select("doc_id", held_out.alias("held_out"), predict_language("text", docs, model).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
