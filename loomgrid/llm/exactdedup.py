@@ -36,7 +36,9 @@ def _stream_state(spark: SparkSession, staged: str, schema: T.StructType, at: st
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/state/batch={number}")
 
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    # without fallocate, a store with few keys takes little disk, however many partitions hold state
+    rocksdb = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
+    with settings(spark, **rocksdb):
         query = (
             spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(staged)
             .groupBy("digest")
