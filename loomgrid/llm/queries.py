@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .exactdedup import exact_groups
 from .langid import predict_language, train_language_model
 from .mixing import mix
+from .neardup import near_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +86,35 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS v
+  FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(v) = 0 THEN []::VARCHAR[] WHEN len(v) < 4 THEN [array_to_string(v, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(v) - 2), lambda i: array_to_string(v[i:i+3], ' '))) END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+link AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+  JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_near_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
