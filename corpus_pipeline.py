@@ -1,12 +1,82 @@
-"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing, tokenising."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, tokenising.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. Every stage works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgrid.llm.bpe import bpe_decode, bpe_encode
+from loomgrid.llm.common import shared_dir
+from loomgrid.llm.exactdedup import exact_dedup
+from loomgrid.llm.langid import predict_language, train_language_model
+from loomgrid.llm.mixing import mixed
+from loomgrid.llm.neardup import near_dedup
+
+#: A document is rejected if no language is found, or none with this mean probability.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language."""
+    model = train_language_model(docs)
+    if model is None:
+        # nothing to learn from, so nothing to reject by
+        return docs
+    scored = docs.withColumn("__p", predict_language("text", docs, model))
+    return scored.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= LEAST_LANGUAGE_SCORE)).drop("__p")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of equal texts."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup(docs, k=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents of each source up to its target, some twice."""
+    return mixed(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token ids, their number, and whether they decode to the text again."""
+    vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = docs.withColumn("ids", bpe_encode("text", docs, *vocabulary))
+    coded = coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    same = bpe_decode("ids", coded, *vocabulary) == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.withColumn("round_trip", same)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mixing),
+    ("bpe", tokenise),
+]
+
+#: The language network, the near-duplicate signatures and the tokenizer are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{at}/{i}-{name}")
+            docs = spark.read.parquet(f"{at}/{i}-{name}")
     return docs
