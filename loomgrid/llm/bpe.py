@@ -25,29 +25,47 @@ from .common import send, text_chunks
 
 NONE = np.iinfo(np.int64).max
 #: Encoded pieces remembered by one Python worker; the table starts anew when full.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Longest piece that is merged together with others; longer ones have a tree of their own.
 WIDE = 256
 #: Largest vocabulary file, as it is broadcast.
 MAX_FILE = 64 << 20
 
 
-class Encoder:
-    """One vocabulary of ranks: lines of base64 token and rank."""
+class Decoder:
+    """The bytes of each id of one vocabulary: lines of base64 token and rank."""
 
     def __init__(self, ranks_file: bytes, pattern: str) -> None:
-        lines = [x.split() for x in ranks_file.splitlines() if x.strip()]
-        self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
-        self.split = regex.compile(pattern).findall
-        size = max(self.ranks.values()) + 1
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
+        self.load({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())})
+
+    def load(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
             tokens[rank] = token
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows of ids, and the number of bytes before each row."""
+        size = self.lengths[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)
+        return self.bytes[at], ends[before]
+
+
+class Encoder(Decoder):
+    """Encodes as well: ranks of tokens and of joined pairs of ids."""
+
+    def __init__(self, ranks_file: bytes, pattern: str) -> None:
+        super().__init__(ranks_file, pattern)
+        self.split = regex.compile(pattern).findall
+
+    def load(self, ranks: dict[bytes, int]) -> None:
+        super().load(ranks)
+        self.ranks = ranks
+        self.kind = np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -188,23 +206,16 @@ class Encoder:
         counts = np.array([len(x) for x in coded], dtype=np.int64) // np.dtype(self.kind).itemsize
         return ids, np.concatenate(([0], np.cumsum(counts)))
 
-    def decode(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all rows of ids, and the number of bytes before each row."""
-        size = self.lengths[ids]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)
-        return self.bytes[at], ends[before]
-
 
-_ENCODERS: dict[str, Encoder] = {}
+_CODERS: dict[tuple[type, str], Decoder] = {}
 
 
-def encoder(ranks_file: bytes, pattern: str) -> Encoder:
-    """The encoder of a vocabulary, built once per Python process."""
-    key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_file, pattern)
-    return _ENCODERS[key]
+def coder(kind: type[Decoder], ranks_file: bytes, pattern: str) -> Decoder:
+    """The coder of a vocabulary, built once per Python process."""
+    key = (kind, hashlib.sha256(ranks_file + pattern.encode()).hexdigest())
+    if key not in _CODERS:
+        _CODERS[key] = kind(ranks_file, pattern)
+    return _CODERS[key]
 
 
 def _vocabulary(path: str) -> bytes:
@@ -221,7 +232,7 @@ def bpe_encode(text: str, df: DataFrame, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(*held.value)
+        enc = coder(Encoder, *held.value)
         for batch in batches:
             ids, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
             for row, _, off in text_chunks(batch):
@@ -239,12 +250,12 @@ def bpe_decode(ids: str, df: DataFrame, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(*held.value)
+        dec = coder(Decoder, *held.value)
         for batch in batches:
             size = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.flatten().to_numpy(zero_copy_only=False)
             before = np.concatenate(([0], np.cumsum(size)))
-            out, off = enc.decode(flat, before)
+            out, off = dec.decode(flat, before)
             yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
 
     return decode(F.col(ids))

@@ -33,9 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts may be long, and a task holds several batches at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's modules to the Python workers of every executor, once per application."""
+    """Send this package's modules to the Python workers of every executor, once per application.
+
+    Also lowers the session's number of rows in an Arrow batch to BATCH_ROWS."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         root = Path(__file__).resolve().parents[2]
