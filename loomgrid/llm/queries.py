@@ -12,6 +12,9 @@ from .exactdedup import exact_groups
 from .langid import predict_language, train_language_model
 from .mixing import mix
 from .neardup import near_groups
+from .tokencount import token_count
+from .topk import exact_top_k, quantised
+from .toxicity import toxic_passages, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,11 +113,47 @@ FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_
 """
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector"))
+    out = exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP1_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = train_toxicity(docs, labels.where(~F.coalesce(held_out, F.lit(False))))
+    out = docs.select("doc_id", held_out.alias("held_out"), toxic_passages("text", docs, model).alias("p"))
+    return out.select("doc_id", "held_out", "p.score", (F.col("p.score") >= 0.5).cast("int").alias("predicted"), F.size("p.passages").alias("n_passages"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", token_count("text", docs, tokenizers.path("piece_bpe_32k.model")).alias("n_tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {"op4_near_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_near_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
