@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .exactdedup import exact_groups
 from .langid import predict_language, train_language_model
+from .lmscore import cross_entropy_difference
 from .mixing import mix
 from .neardup import near_groups
+from .pii import KINDS, personal_data, train_tagger
 from .tokencount import token_count
 from .topk import exact_top_k, quantised
 from .toxicity import toxic_passages, train_toxicity
@@ -146,14 +148,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", token_count("text", docs, tokenizers.path("piece_bpe_32k.model")).alias("n_tokens"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality; background: all documents."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return cross_entropy_difference(docs, labels.where("quality = 1")).withColumnRenamed("id", "doc_id")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = docs.select("doc_id", personal_data("text", docs, train_tagger(docs)).alias("p"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("p.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("p.base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("p.spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_personal_data": op9_personal_data,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_near_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
