@@ -6,10 +6,12 @@ j + r. Values of round j are all under j + 1, so a text is finished after the fi
 no slot empty. Rounds run for all texts of a chunk at once.
 
 Texts with the same set are one class from the start. Band keys of the classes are grouped; each
-bucket first compares its members with one of them, as a star, and only what that leaves in different
-components is compared further: with other members in turn, and then all pairs that still are in
-different components. So a bucket of near copies costs one comparison a member, and no link
-between different texts that share a bucket is lost. Every link is confirmed on the full sets.
+bucket first compares its members with the smallest of them, as a star. Buckets whose members then are
+in different components are compared further, in blocks: members outside the bucket's largest
+component meet all its members, a block of sets against a slice of sets in one matrix product that
+returns links only. So a bucket of near copies costs one comparison a member, no pairs are written
+out, and no link between different texts that share a bucket is lost. Every link is confirmed on the
+full sets.
 
 Defined cases: a null or empty text, or one without words, has no set and is linked with nothing; a
 text with fewer words than a shingle has its whole sequence as the only shingle. Rows without an
@@ -33,8 +35,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Elements whose permutations are held at once.
 ELEMENTS = 1 << 16
-#: A bucket is compared with so many of its members in turn before all pairs that remain are.
-PIVOTS = 8
+#: Members of one slice and of one block of a bucket; shingles of the matrices that are multiplied.
+SLICE, BLOCK, WIDTH = 1024, 1024, 1 << 15
 EMPTY = np.iinfo(np.int64).max
 
 
@@ -148,57 +150,129 @@ def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFra
         return cut(wide.where(_linked(F.col("sa"), F.col("sb"), percent)).select("a", "b"))
 
 
+def _cross_links(own: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, answer: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked sets, one of ask and one of answer, that are in different components."""
+    size = np.array([len(x) for x in own], dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(ask):
+        end = at + 1
+        while end < len(ask) and size[ask[at : end + 1]].sum() <= WIDTH:
+            end += 1
+        part = ask[at:end]
+        values = np.concatenate([own[i] for i in part])
+        known = np.unique(values)
+        left = np.zeros((len(part), len(known)), dtype=np.float32)
+        left[np.repeat(np.arange(len(part)), size[part]), np.searchsorted(known, values)] = 1
+        for i in range(0, len(answer), 256):
+            group = answer[i : i + 256]
+            values = np.concatenate([own[j] for j in group])
+            place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            hit = known[place] == values
+            right = np.zeros((len(group), len(known)), dtype=np.float32)
+            right[np.repeat(np.arange(len(group)), size[group])[hit], place[hit]] = 1
+            common = (left @ right.T).astype(np.int64)
+            union = size[part][:, None] + size[group][None, :] - common
+            r, c = np.nonzero((100 * common >= percent * union) & (comp[part][:, None] != comp[group][None, :]))
+            found.append((part[r], group[c]))
+        at = end
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
+
+
+def _blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of runs of rows with the same (key, block, slice); rows are (key, block, slice, role, doc, comp, set)."""
+
+    def links(rows: pa.Table, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        part = rows.slice(first, last - first)
+        role, doc, comp = (part.column(c).to_numpy() for c in ("role", "doc", "comp"))
+        own = [np.frombuffer(x.as_buffer(), dtype=U) for x in part.column("set")]
+        a, b = _cross_links(own, comp, np.flatnonzero(role > 0), np.flatnonzero(role != 1), percent)
+        return doc[a], doc[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(rows: pa.Table, close: bool) -> tuple[pa.RecordBatch | None, int]:
+            """Links of the complete runs, and where the last, open run starts."""
+            key, block, piece = (rows.column(c).to_numpy() for c in ("key", "block", "slice"))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (piece[1:] != piece[:-1])) + 1
+            bounds = [0, *edge.tolist(), *([len(key)] if close else [])]
+            found = [links(rows, x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            if not found:
+                return None, bounds[-1]
+            columns = [pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"]), bounds[-1]
+
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            out, start = whole(rows, close=False)
+            if out is not None:
+                yield out
+                held = rows.slice(start).to_batches()
+        if held:
+            out, _ = whole(pa.Table.from_batches(held), close=True)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _open_buckets(labelled: DataFrame) -> DataFrame:
+    """Rows (key, block, slice, role, doc, comp) of buckets with members in different components.
+
+    Of buckets with the same members one is enough. role 0: answers; 1: asks; 2: both."""
+    by_comp = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"))
+    by_key = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.max(F.struct("n", "comp")).alias("main"))
+    # pairs with the smallest member are known from the star, so two members are no news
+    by_key = by_key.where("n > main.n and n > 2").groupBy("members", "n").agg(F.min(F.struct("key", "main")).alias("k"))
+    by_key = by_key.select("k.key", F.col("n").alias("size"), F.col("k.main.comp").alias("main"), F.col("k.main.n").alias("inside"))
+    rows = labelled.join(by_key, "key")
+    rows = rows.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int")).withColumn("blocks", F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"))
+    asks = F.col("comp") != F.col("main")
+    one = (F.col("slices") == 1) & (F.col("blocks") == 1)
+    own_slice, own_block = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks")).cast("int")
+    place = lambda block, piece, role: F.struct(block.cast("int").alias("block"), piece.cast("int").alias("slice"), role.cast("int").alias("role"))
+    zero = F.lit(0)
+    answers = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: place(i, own_slice, zero))
+    asking = F.transform(F.sequence(zero, F.col("slices") - 1), lambda i: place(own_block, i, F.lit(1)))
+    places = F.when(one, F.array(place(zero, zero, F.when(asks, F.lit(2)).otherwise(zero)))).when(asks, F.concat(answers, asking)).otherwise(answers)
+    return rows.select("key", "doc", "comp", F.explode(places).alias("p")).select("key", "p.block", "p.slice", "p.role", "doc", "comp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id of every row; linked if 100 * intersection >= percent * union."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    everyone = own.mapInArrow(_profiles(k), "id long, n long, d1 long, d2 long, keys array<long>")
-    everyone = cut(everyone)
+    everyone = cut(own.mapInArrow(_profiles(k), "id long, n long, d1 long, d2 long, keys array<long>"))
     rows = everyone.select("id", "n", "d1", "d2")
     # one class per set; the smallest identifier stands for it
     classes = everyone.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("doc"), F.first("keys").alias("keys"))
     classes = cut(classes)
-    banded = classes.select("doc", "n", F.explode("keys").alias("key"))
+    banded = classes.select("n", "doc", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("other")).where("center != other")
-    held = cut(banded.join(buckets.select("key"), "key"))
-
-    similar = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent  # noqa: E731  else the sizes rule a link out
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    labelled = held.withColumn("comp", F.col("doc"))
-    for turn in range(PIVOTS + 1):
-        spread = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-        spread = spread.where("n * n > sq")
-        if turn:
-            left = spread.agg(F.sum(F.expr("(n * n - sq) / 2")), F.sum("n")).first()
-            if not left[0]:
-                break
-        open_rows = labelled.join(spread.select("key"), "key")
-        if turn and (turn == PIVOTS or left[0] <= 2 * left[1]):
-            other = open_rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = open_rows.join(other, "key").where((F.col("comp") < F.col("cb")) & similar(F.col("n"), F.col("nb"))).select(F.col("doc").alias("a"), "b")
-            last = True
-        else:
-            order = F.col("doc") if turn == 0 else F.xxhash64("doc", "key", F.lit(turn))
-            pivot = open_rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc"), F.col("n"), F.col("comp"))).alias("p"))
-            pairs = open_rows.join(pivot, "key").where((F.col("comp") != F.col("p.comp")) & similar(F.col("n"), F.col("p.n")))
-            pairs = pairs.select(F.col("doc").alias("a"), F.col("p.doc").alias("b"))
-            last = False
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, own, k, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        if last:
-            break
-        labelled = cut(held.join(labels, held["doc"] == labels["node"], "left").select("doc", "n", "key", F.coalesce("component", "doc").alias("comp")))
+    held = cut(banded.join(buckets.select("key", "center"), "key").select("key", "doc", "n", "center"))
+
+    # the star of each bucket; sizes alone rule many links out
+    similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    centers = held.where("doc = center").groupBy("center").agg(F.min("n").alias("m"))
+    stars = held.where("doc != center").select("doc", "n", "center").distinct().join(centers, "center").where(similar)
+    links = _verified(cut(stars.select(F.col("center").alias("a"), F.col("doc").alias("b"))), own, k, percent)
+    labels = connected_components(links)
+
+    labelled = held.join(labels, held["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    left = cut(_open_buckets(labelled))
+    if not left.isEmpty():
+        with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
+            sets = in_bloom(own, bloom(left.select("doc").distinct(), "doc"), "id").mapInArrow(_sets(k), "id long, set binary")
+            wide = left.join(sets, left["doc"] == sets["id"]).select("key", "block", "slice", "role", "doc", "comp", "set")
+            wide = wide.repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice")
+            more = cut(wide.mapInArrow(_blocks(percent), "a long, b long").distinct())
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
 
     final = classes.select("d1", "d2", "n", "doc").join(labels, F.col("doc") == F.col("node"), "left")
     final = final.select("d1", "d2", "n", F.coalesce("component", "doc").alias("comp"))
-    # identifiers with several texts: all their classes are one
     out = rows.where("n > 0 and id is not null").join(final, ["d1", "d2", "n"]).select("id", "n", "comp")
     alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp"))
     return out.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
