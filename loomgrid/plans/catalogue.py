@@ -1,12 +1,8 @@
-"""Named queries over the supplied tables, each paired with DuckDB SQL."""
+"""All named queries over the supplied tables, each paired with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, lookups, matching, raster, sampling, sequences, text  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
