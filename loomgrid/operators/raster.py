@@ -110,6 +110,22 @@ def morphed(mask: Column, width: int, height: int, grow: bool) -> Column:
     return bound(mask, lambda own: F.transform(_near(width, height, 1), lambda n: pick(F.transform(n, lambda j: F.element_at(own, j)))))
 
 
+def box_blurred(values: Column, width: int, height: int, radius: int) -> Column:
+    """Mean along rows, then along columns, with the edge cells repeated."""
+
+    def near(along_x: bool) -> Column:
+        clamp = lambda v, size: min(size - 1, max(0, v))
+        cells = [(x, y) for y in range(height) for x in range(width)]
+        steps = range(-radius, radius + 1)
+        lists = [[(y * width + clamp(x + k, width) if along_x else clamp(y + k, height) * width + x) + 1 for k in steps] for x, y in cells]
+        return F.from_json(F.lit(json.dumps(lists)), "array<array<int>>")
+
+    def once(own: Column, along_x: bool) -> Column:
+        return F.transform(near(along_x), lambda n: F.aggregate(n, F.lit(0.0), lambda s, j: s + F.element_at(own, j)) / (2 * radius + 1))
+
+    return bound(bound(values, lambda own: once(own, True)), lambda own: once(own, False))
+
+
 COMPONENT = "id long, component int, x int, y int, w int, h int, pixels int"
 
 

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the Python workers of every executor, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parent
+        folder = os.path.realpath(tempfile.mkdtemp(prefix=package.name))  # the driver serves it from there until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = f"{folder}/{package.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        sc.addPyFile(target)
+    return spark
+
 
 def get_session(app: str = "loomgrid", cores: int | str | None = None, memory: str = "8g") -> SparkSession:
     """A local session with the settings the operators expect (UTC, adaptive execution)."""
