@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship as ship_package
+
 #: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/loomgrid"
 
@@ -30,32 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or DEFAULT_CHECKPOINT_DIR
 
 
-_SHIPPED: set[str] = set()
-
-
 #: Rows of an Arrow batch: texts may be long, and a task holds several batches at once.
 BATCH_ROWS = 1000
+#: Groups whose counts may be broadcast.
+MAX_GROUPS = 10_000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's modules to the Python workers of every executor, once per application.
-
-    Also lowers the session's number of rows in an Arrow batch to BATCH_ROWS."""
-    sc = spark.sparkContext
+    """The package's modules on every Python worker, and Arrow batches of at most BATCH_ROWS rows in this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId not in _SHIPPED:
-        _SHIPPED.add(sc.applicationId)
-        root = Path(__file__).resolve().parents[2]
-        package = Path(__file__).resolve().parents[1].name
-        folder = os.path.realpath(tempfile.mkdtemp(prefix=package))  # the driver serves it from there until it ends
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        target = f"{folder}/{package}.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for source in sorted((root / package).rglob("*.py")):
-                z.write(source, source.relative_to(root))
-        sc.addPyFile(target)
-    return spark
+    return ship_package(spark)
 
 
 def send(df: DataFrame, value: object):
@@ -95,6 +77,23 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def smallest_hashes(df: DataFrame, key: Column, rows: int, per: str | None = None) -> DataFrame:
+    """The rows of df with the smallest hashes of key: so many, or so many for each value of per.
+
+    A threshold known from counts goes first, about twice as high as needed, so that the ordered limit
+    sees a few times `rows` in all and not that many from every partition."""
+    h = F.xxhash64(key)
+    share = (h.cast("double") + 2.0**63) / 2.0**64
+    if per is None:
+        least = min(1.0, (2 * rows + 200) / max(1, df.count()))
+        return df.where(share < least if least < 1 else F.lit(True)).orderBy(h, key).limit(rows)
+    counts = df.groupBy(per).agg(F.count(F.lit(1)).alias("__n"))
+    few = counts.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    near = df.join(F.broadcast(counts) if few else counts, per).where(share * F.col("__n") < 2 * rows + 200).drop("__n")
+    order = W.partitionBy(per).orderBy(h, key)
+    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows).drop("__r")
+
+
 # --- hashing -----------------------------------------------------------------------------------
 
 U = np.uint64
