@@ -29,6 +29,7 @@ def flatten(path: str) -> list[list[tuple[float, float]]]:
             continue
         size = _SIZES[command]
         if len(tokens) - at < size or any(t in _SIZES for t in tokens[at : at + size]):
+            at += 1  # too few numbers: they are passed over
             continue
         v = [float(t) for t in tokens[at : at + size]]
         at += size
