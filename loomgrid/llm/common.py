@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,13 @@ def send(df: DataFrame, value: object):
     return ship(df.sparkSession).sparkContext.broadcast(value)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with little of it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, removed on exit: nothing returned may read from it."""
