@@ -12,8 +12,10 @@ from .registry import query, table
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the time as microseconds."""
-    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value")
+    """Events with the time as microseconds; the time has no zone, so the session's zone plays no part."""
+    seconds = F.unix_date(F.to_date("ts")).cast("long") * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60
+    us = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), "ts") * 1_000_000).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", us.alias("us"), "user_id", "event_type", "value")
 
 
 E = "SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value FROM events"
