@@ -8,7 +8,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: Without fallocate a store with few keys takes little disk, however many partitions hold state; all
+#: stores of an executor share one bounded amount of memory and are closed after each micro-batch.
+ROCKSDB = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true", f"{_STORE}.rocksdb.maxMemoryUsageMB": "64", f"{_STORE}.unloadOnCommit": "true",
+}
 #: Files of the source read into one micro-batch.
 FILES_PER_BATCH = 2000
 
@@ -38,9 +44,7 @@ def keyed_state(spark: SparkSession, source: str, schema: T.StructType, at: str,
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/state/batch={number}")
 
-    # without fallocate, a store with few keys takes little disk, however many partitions hold state
-    rocksdb = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-    with settings(spark, rocksdb):
+    with settings(spark, ROCKSDB):
         run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/stream").trigger(availableNow=True).start()
         run.awaitTermination()
     spark.createDataFrame([], stream.schema).write.parquet(f"{at}/state/batch=none")  # a source without rows has no batch
