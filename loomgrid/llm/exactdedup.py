@@ -14,47 +14,17 @@ gives an empty result. Extra columns are kept and never clash, as the joins run
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import bloom, cut, in_bloom, scratch, settings
-
-#: Rows of Spark's file source read into one micro-batch.
-FILES_PER_BATCH = 2000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+from ..streaming.state import keyed_state
+from .common import bloom, cut, in_bloom, scratch
 
 def normalised(text) -> F.Column:
     """Null reads as empty; each run of ASCII white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _stream_state(spark: SparkSession, staged: str, schema: T.StructType, at: str) -> DataFrame:
-    """Run the stream over all staged events; the last state of each digest."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/state/batch={number}")
-
-    # without fallocate, a store with few keys takes little disk, however many partitions hold state
-    rocksdb = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
-    with settings(spark, **rocksdb):
-        query = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(staged)
-            .groupBy("digest")
-            .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-            .writeStream.outputMode("update")
-            .foreachBatch(keep)
-            .option("checkpointLocation", f"{at}/stream")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    state = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first", schema["row"].dataType), T.StructField("n", T.LongType())])
-    # the minimum only falls and the count only grows from batch to batch
-    return spark.read.schema(state).parquet(f"{at}/state/batch=*").groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64) -> DataFrame:
     """One row per row of docs: row (id, number, locator), keep (the row that stays), group_size, text_sha256.
 
@@ -69,7 +39,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with scratch(spark) as at:
         own.select(row.alias("row"), sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_hex)).write.parquet(f"{at}/events")
         events = spark.read.parquet(f"{at}/events")
-        state = _stream_state(spark, f"{at}/events", events.schema, at)
+        # the smallest row only falls and the count only grows from batch to batch
+        state = keyed_state(
+            spark, f"{at}/events", events.schema, at, "digest", [F.min("row").alias("first"), F.count(F.lit(1)).alias("n")], [F.min("first").alias("first"), F.max("n").alias("n")]
+        )
         placed = cut(events.join(state, "digest"))
 
     # full bytes of both texts on every hit: only rows of digests seen more than once go through the join
@@ -78,7 +51,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = bloom(placed.where("n > 1").select(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("k")).distinct(), "k")
     texts = in_bloom(own.select(F.col("id"), normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("k", key), table, "k")
     texts = texts.select("id", "norm", "sha", F.substring("sha", 1, digest_hex).alias("digest"))
-    first = texts.join(hits, "digest").where(F.col("id").eqNullSafe(F.col("first.id"))).groupBy("digest").agg(F.min("norm").alias("kept"))
+    # joined by digest and identifier, so the many rows of one digest do not meet in one task
+    kept = hits.select(F.col("digest").alias("__digest"), F.col("first.id").alias("__id"))
+    first = texts.join(kept, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id"))).groupBy("digest").agg(F.min("norm").alias("kept"))
     unlike = texts.join(first, "digest").where("norm != kept").select("digest").distinct()
     if unlike.isEmpty():
         return placed.select("row", F.col("first").alias("keep"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"))
@@ -95,9 +70,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
-    groups = exact_groups(docs, id_col, text_col)
-    gone = groups.where("row.number != keep.number").select(F.col("row.id").alias("__gone"), F.col("keep.id").alias("__for"), "text_sha256")
-    again = gone.where("__gone <=> __for")
-    out = docs.join(gone.where("not (__gone <=> __for)").select("__gone"), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
-    # rows repeated under one identifier: one of them stays
-    return out if again.isEmpty() else out.dropDuplicates([id_col])
+    groups = exact_groups(docs, id_col, text_col).select(F.col("row.id").alias("__id"), F.col("text_sha256").alias("__sha"), (F.col("row.number") != F.col("keep.number")).alias("gone"))
+    unclear = not groups.groupBy("__id").count().where("__id is null or count > 1").isEmpty()
+    if not unclear:
+        return docs.join(groups.where("gone").select("__id"), docs[id_col] == F.col("__id"), "left_anti")
+    # identifiers that are missing or repeated: the text decides as well, and equal rows are cut to one
+    same = [F.col("__own").eqNullSafe(F.col("__id")), F.col("__text") == F.col("__sha")]
+    keep = groups.where("not gone").select("__id", "__sha").distinct()
+    marked = docs.withColumn("__own", docs[id_col]).withColumn("__text", F.sha2(normalised(docs[text_col]).cast("binary"), 256))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["__own", "__text"]).drop("__own", "__text")
