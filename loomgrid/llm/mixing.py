@@ -6,7 +6,7 @@ epochs first and then rows in that order up to what is left of its target; the l
 that comes nearer to the target. The order statistic is found by a radix search on the key (256 bins a
 level, three levels), so no source is ever sorted, or even gathered, in one task.
 
-Defined cases: null text has size 0 and quality 1; a null source is a source of its own, placed last;
+Defined cases: a missing identifier draws by the text; null text has size 0 and quality 1; a null source is a source of its own, placed last;
 sources without words have target 0; rows repeated under one identifier draw the same key and are
 ordered by a hash of their text and then taken alike; an empty table gives an empty result.
 """
@@ -69,11 +69,12 @@ def _attach(rows: DataFrame, small: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Id, size, source, source_size, target, taken of every row of docs."""
     size = word_count(F.col("text"))
-    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), tie.cast("string"))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     key = -F.log(u) / quality(F.col("text"))
-    rows = own.select("id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
+    rows = own.select("id", "source", size.alias("size"), key.alias("key"), tie.alias("tie"))
     # a monotone map of the key onto 24 bits, about even for weights near 1
     rows = cut(rows.withColumn("code", F.floor((1 - F.exp(-F.col("key"))) * ((1 << BITS * LEVELS) - 1)).cast("int")))
     goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
@@ -101,12 +102,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a source without an edge has room for all its rows only if nothing was left over
     below = placed.where("edge is null or code != edge").withColumn("in", F.when(F.col("edge").isNull(), F.col("left") > 0).otherwise(F.col("code") < F.col("edge")))
     out = below.unionByName(at_edge)
-    return out.select("id", "size", "source", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("in").cast("int"))).alias("taken"), "key")
+    return out.select("id", "size", "source", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("in").cast("int"))).alias("taken"), "tie")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs in the mix, each as often as it is taken, all columns as they were."""
-    taken = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = taken.groupBy("__id").agg(F.max("__times").alias("__times"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[joined[c] for c in docs.columns])
+    out = mix(docs, id_col, text_col, source_col).where("taken > 0")
+    # rows repeated under one identifier with one text are taken alike
+    taken = out.groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
+    marked = docs.withColumn("__own", docs[id_col]).withColumn("__hash", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    joined = marked.join(taken, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[f"`{c}`" for c in docs.columns])
