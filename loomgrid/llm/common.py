@@ -212,12 +212,16 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
 BLOOM_BITS = 1 << 23
 
 
+def bloom_places(col: str, bits: int = BLOOM_BITS) -> list[Column]:
+    """The places of a key in a filter, as columns __b0, __b1, __b2."""
+    return [F.pmod(F.xxhash64(F.col(col).cast("long"), F.lit(seed)), F.lit(bits)).alias(f"__b{i}") for i, seed in enumerate((1, 2, 3))]
+
+
 def bloom(keys: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
     """A Bloom filter of one integer column: always bits/8 bytes on the driver, whatever the number of keys."""
-    h = [F.pmod(F.xxhash64(F.col(col).cast("long"), F.lit(seed)), F.lit(bits)) for seed in (1, 2, 3)]
     rows = (
         keys.where(F.col(col).isNotNull())
-        .select(F.explode(F.array(*h)).alias("at"))
+        .select(F.explode(F.array(*bloom_places(col, bits))).alias("at"))
         .groupBy(F.shiftright("at", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 32) AS int)))").alias("v"))
         .toPandas()
@@ -227,19 +231,21 @@ def bloom(keys: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
+def probe(table: np.ndarray, places: list[pa.Array]) -> np.ndarray:
+    """Which keys may be in a filter; none that is in it is missed."""
+    ok = np.ones(len(places[0]), dtype=bool)
+    for x in places:
+        at = x.fill_null(0).to_numpy(zero_copy_only=False)
+        ok &= ((table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
+    return ok
+
+
 def in_bloom(df: DataFrame, table: np.ndarray, col: str) -> DataFrame:
-    """The rows of df whose key may be in the filter; no row that is in it is lost."""
+    """The rows of df whose key may be in the filter; only the places of the key go to Python."""
     held = send(df, table)
-    bits = len(table) * 32
-    h = [F.pmod(F.xxhash64(F.col(col).cast("long"), F.lit(seed)), F.lit(bits)) for seed in (1, 2, 3)]
 
     @F.arrow_udf("boolean")
-    def probe(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        bits_of, ok = held.value, None
-        for x in (a, b, c):
-            at = x.fill_null(0).to_numpy(zero_copy_only=False)
-            hit = (bits_of[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
-            ok = hit if ok is None else ok & hit
-        return pa.array(ok.astype(bool))
-
-    return df.where(F.col(col).isNotNull()).where(probe(*h))
+    def among(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(probe(held.value, [a, b, c]))
+
+    return df.where(F.col(col).isNotNull()).where(among(*bloom_places(col, len(table) * 32)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bloom, cut, in_bloom, mix, settings, ship, shingle_hashes, text_chunks, word_hashes, words
+from .common import U, bloom, bloom_places, cut, mix, probe, send, settings, ship, shingle_hashes, text_chunks, tidy, word_hashes, words
 from .components import connected_components
 
 #: 32 bands of 5 slots: a pair with similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
@@ -111,19 +111,26 @@ def _profiles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 keys = band_keys(signatures(h, before))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(d1), pa.array(d2), lists], ["id", "n", "d1", "d2", "keys"])
+        tidy()
 
     return run
 
 
-def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id, set (packed sorted hashes) of the rows of own that wanted may name; filter and sets share one Python worker."""
+    held = send(own, bloom(wanted, "id"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
         for batch in batches:
+            batch = batch.filter(pa.array(probe(table, [batch.column(i) for i in (2, 3, 4)])))
             for row, data, off in text_chunks(batch.column(1)):
                 h, before = shingle_sets(data, off, k)
                 raw = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer((before * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(before) - 1), raw.cast(pa.binary())], ["id", "set"])
+        tidy()
 
-    return run
+    return own.where("id is not null").select("id", "text", *bloom_places("id")).mapInArrow(run, "id long, set binary")
 
 
 def _linked(a: Column, b: Column, percent: int) -> Column:
@@ -144,7 +151,7 @@ def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) whose full sets reach the similarity."""
     with settings(own.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = in_bloom(own, bloom(ends, "id"), "id").mapInArrow(_sets(k), "id long, set binary")
+        sets = _sets(own, ends, k)
         wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         wide = wide.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         return cut(wide.where(_linked(F.col("sa"), F.col("sb"), percent)).select("a", "b"))
@@ -264,7 +271,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = cut(_open_buckets(labelled))
     if not left.isEmpty():
         with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-            sets = in_bloom(own, bloom(left.select("doc").distinct(), "doc"), "id").mapInArrow(_sets(k), "id long, set binary")
+            sets = _sets(own, left.select(F.col("doc").alias("id")).distinct(), k)
             wide = left.join(sets, left["doc"] == sets["id"]).select("key", "block", "slice", "role", "doc", "comp", "set")
             wide = wide.repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice")
             more = cut(wide.mapInArrow(_blocks(percent), "a long, b long").distinct())
