@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import send, text_chunks
+from .common import send, text_chunks, tidy
 
 NONE = np.iinfo(np.int64).max
 #: Encoded pieces remembered by one Python worker; the table starts anew when full.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Longest piece that is merged together with others; longer ones have a tree of their own.
 WIDE = 256
 #: Largest vocabulary file, as it is broadcast.
@@ -74,7 +74,6 @@ class Encoder(Decoder):
                     pairs[a << 32 | b] = rank
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        self.pairs = pairs
         self.known: dict[str, bytes] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,13 +128,13 @@ class Encoder(Decoder):
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Ids of one long piece, on a tree of plain integers."""
-        n, pairs = len(piece), self.pairs
+        n, ranks = len(piece), self.ranks
         width = 1 << max(1, (n - 1).bit_length())
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
         none = 1 << 62
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
+            rank = ranks.get(piece[i : i + 2])
             if rank is not None:
                 tree[width + i] = rank * width + i
         for i in range(width - 1, 0, -1):
@@ -162,11 +161,11 @@ class Encoder(Decoder):
             if nxt < n:
                 before[nxt] = at
             put(gone, none)
-            rank = pairs.get(ids[at] << 32 | ids[nxt]) if nxt < n else None
+            rank = ranks.get(piece[at : after[nxt]]) if nxt < n else None
             put(at, none if rank is None else rank * width + at)
             prev = before[at]
             if prev >= 0:
-                rank = pairs.get(ids[prev] << 32 | ids[at])
+                rank = ranks.get(piece[prev:nxt])
                 put(prev, none if rank is None else rank * width + prev)
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
@@ -226,6 +225,22 @@ def _vocabulary(path: str) -> bytes:
     return blob
 
 
+def _encoded(enc: Encoder, batch: pa.Array) -> pa.Array:
+    ids, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for row, _, off in text_chunks(batch):
+        own, before = enc.encode(batch.slice(row, len(off) - 1).to_pylist())
+        ids.append(own.astype(np.int32))
+        counts.append(np.diff(before))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(ids)))
+
+
+def _decoded(dec: Decoder, batch: pa.Array) -> pa.Array:
+    size = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = batch.flatten().to_numpy(zero_copy_only=False)
+    out, off = dec.decode(flat, np.concatenate(([0], np.cumsum(size))))
+    return pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
+
+
 def bpe_encode(text: str, df: DataFrame, path: str, pattern: str) -> Column:
     """A column of arrays of ids for one text column of df; the file is read on the driver and sent once."""
     held = send(df, (_vocabulary(path), pattern))
@@ -234,12 +249,8 @@ def bpe_encode(text: str, df: DataFrame, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = coder(Encoder, *held.value)
         for batch in batches:
-            ids, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
-            for row, _, off in text_chunks(batch):
-                own, before = enc.encode(batch.slice(row, len(off) - 1).to_pylist())
-                ids.append(own.astype(np.int32))
-                counts.append(np.diff(before))
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(ids)))
+            yield _encoded(enc, batch)
+        tidy()
 
     return encode(F.col(text))
 
@@ -252,10 +263,22 @@ def bpe_decode(ids: str, df: DataFrame, path: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dec = coder(Decoder, *held.value)
         for batch in batches:
-            size = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
-            before = np.concatenate(([0], np.cumsum(size)))
-            out, off = dec.decode(flat, before)
-            yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
+            yield _decoded(dec, batch)
+        tidy()
 
     return decode(F.col(ids))
+
+
+def bpe_both(text: str, df: DataFrame, path: str, pattern: str) -> Column:
+    """A column struct<ids, decoded> of one text column: encoded, and decoded from the ids, in one Python worker."""
+    held = send(df, (_vocabulary(path), pattern))
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = coder(Encoder, *held.value)
+        for batch in batches:
+            ids = _encoded(enc, batch)
+            yield pa.StructArray.from_arrays([ids, _decoded(enc, ids)], ["ids", "decoded"])
+        tidy()
+
+    return both(F.col(text))

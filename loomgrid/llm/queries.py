@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_both
 from .exactdedup import exact_groups
 from .langid import predict_language, train_language_model
 from .lmscore import cross_entropy_difference
@@ -43,8 +43,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = (tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", bpe_encode("text", docs, *vocabulary).alias("ids"))
-    coded = coded.withColumn("decoded", bpe_decode("ids", coded, *vocabulary))
+    coded = docs.select("doc_id", bpe_both("text", docs, *vocabulary).alias("b")).select("doc_id", "b.ids", "b.decoded")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgrid.llm.bpe import Encoder, bpe_decode, bpe_encode
+from loomgrid.llm.bpe import Encoder, bpe_both, bpe_decode, bpe_encode
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 BLOB = open(PATH, "rb").read()
@@ -48,4 +48,6 @@ def test_nulls_empty_repeats_and_other_columns(spark):
     for r in out:
         assert r["code"] == REFERENCE.encode_ordinary(r["text"] or "")
         assert bytes(r["back"]) == (r["text"] or "").encode()
+    both = df.withColumn("b", bpe_both("text", df, PATH, P.PATTERN)).collect()
+    assert sorted((r["b"]["ids"], bytes(r["b"]["decoded"])) for r in both) == sorted((r["code"], bytes(r["back"])) for r in out)
     assert df.where(F.lit(False)).withColumn("code", bpe_encode("text", df, PATH, P.PATTERN)).count() == 0
