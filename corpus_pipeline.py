@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.bpe import bpe_decode, bpe_encode
+from loomgrid.llm.bpe import bpe_both
 from loomgrid.llm.common import shared_dir
 from loomgrid.llm.exactdedup import exact_dedup
 from loomgrid.llm.langid import predict_language, train_language_model
@@ -52,10 +52,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token ids, their number, and whether they decode to the text again."""
     vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = docs.withColumn("ids", bpe_encode("text", docs, *vocabulary))
-    coded = coded.withColumn("n_tokens", F.size("ids").cast("long"))
-    same = bpe_decode("ids", coded, *vocabulary) == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.withColumn("round_trip", same)
+    coded = docs.withColumn("__b", bpe_both("text", docs, *vocabulary))
+    same = F.col("__b.decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.withColumns({"ids": F.col("__b.ids"), "n_tokens": F.size("__b.ids").cast("long"), "round_trip": same}).drop("__b")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
