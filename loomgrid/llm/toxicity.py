@@ -4,7 +4,7 @@ A token's score is its log-odds between toxic and other labelled texts under an
 prior that is the token's frequency in the whole corpus; tokens whose log-odds are not significant,
 and all others, get a small negative score. One linear scan finds all maximal scoring segments of a
 text. Scores of random text follow an extreme-value law with parameters lambda and K, so a segment of
-score S in n tokens has E = K n exp(-lambda S); segments of small E are the passages, and a logistic
+score S in n tokens has E = K n exp(-lambda S), K calibrated on texts that are not toxic; segments of small E are the passages, and a logistic
 curve fitted on labelled texts turns the best segment and the number of passages into a probability.
 
 Tokens are runs of letters and digits without case. A token has a form for the whole word and one for
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U, mix, send, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, U, mix, send, smallest_hashes, text_chunks, word_hashes, words
 
 #: Labelled rows the scores are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -173,7 +173,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Scores, extreme-value parameters and curve; labels are those the model may learn from."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    sample = sample.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas().sort_values("id")
+    sample = smallest_hashes(sample.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), SAMPLE_ROWS).toPandas().sort_values("id")
     ids, y = sample["id"].to_numpy(dtype=np.int64), sample["y"].to_numpy(dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.full(2 << BITS, NEUTRAL), known=False)
@@ -188,12 +188,39 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model.scale, model.k = extreme_value(weights[:half], table[2, :half])
     # the curve, fitted on the same bounded sample
     chosen = own.where(F.col("id").isin([int(i) for i in ids])) if len(ids) <= 1000 else own.join(F.broadcast(own.sparkSession.createDataFrame(sample[["id"]])), "id", "left_semi")
-    seen = chosen.select("id", toxic_passages("text", chosen, model).alias("p")).select("id", "p.best", "p.many").limit(4 * SAMPLE_ROWS).toPandas()
-    seen = seen.merge(sample, on="id").sort_values(["id", "best", "many"])
-    model.curve = _logistic(seen[["best", "many"]].to_numpy(), seen["y"].to_numpy(dtype=np.float64))
+    seen = chosen.select("id", _expected("text", chosen, model).alias("e")).limit(4 * SAMPLE_ROWS).toPandas().merge(sample, on="id")
+    expected = [np.array(e, dtype=np.float64) for e in seen["e"]]
+    labels_of = seen["y"].to_numpy(dtype=np.float64)
+    if len(set(labels_of.tolist())) < 2:
+        return Model(weights, known=False)  # the labels are of other texts
+    # K from the data: of texts that are not toxic, the share SIGNIFICANT may have a segment as good as that
+    best = np.array([e.min() if len(e) else np.inf for e in expected])[labels_of == 0]
+    if len(best):
+        shift = max(1.0, SIGNIFICANT / max(float(np.quantile(best, SIGNIFICANT)), 1e-300))
+        model.k *= shift
+        expected = [e * shift for e in expected]
+    x = np.array([_features([(0, 0, 0.0, float(v)) for v in e]) for e in expected])
+    order = np.lexsort((x[:, 1], x[:, 0], seen["id"].to_numpy()))
+    model.curve = _logistic(x[order], labels_of[order])
     return model
 
 
+def _expected(text: str, df: DataFrame, model: Model) -> Column:
+    """The expected number of segments as good as each of a text's segments, of those under 10."""
+    held = send(df, model)
+
+    @F.arrow_udf("array<double>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list[list[float]] = [[] for _ in range(len(batch))]
+            for row, data, off in text_chunks(batch):
+                for at, rows in _scan(held.value, data, off)[1].items():
+                    out[row + at] = [e for *_, e in rows if e < 10]
+            yield pa.array(out, pa.list_(pa.float64()))
+
+    return search(F.col(text))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Bias and slopes by Newton steps with a little ridge; slopes are not negative."""
     x = np.column_stack((np.ones(len(x)), x))
