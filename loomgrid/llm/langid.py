@@ -17,10 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import send, text_chunks
+from .common import send, smallest_hashes, text_chunks, tidy
 
 #: Labelled rows the classifier is fitted on: at most so many of each language, and so many in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
@@ -136,9 +135,8 @@ def probabilities(net: Network, tables: list[np.ndarray], x: np.ndarray, rows: i
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network fitted on a bounded sample of rows with a language; None without such rows."""
     own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_PER_LANGUAGE)
-    chosen = chosen.orderBy("n", "lang").limit(SAMPLE_ROWS).select("id").collect()
+    chosen = smallest_hashes(own, F.col("id").cast("string"), SAMPLE_PER_LANGUAGE, per="lang")
+    chosen = smallest_hashes(chosen, F.col("id").cast("string"), SAMPLE_ROWS).select("id").collect()
     if not chosen:
         return None
     rows = docs.where(F.col(id_col).isin([r["id"] for r in chosen])).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -183,5 +181,6 @@ def predict_language(text: str, df: DataFrame, model: Network | None) -> Column:
                         best = int(total[i].argmax())
                         lang[row + i], score[row + i] = net.labels[best], min(1.0, total[i, best] / n[i])
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+        tidy()
 
     return predict(F.col(text))
