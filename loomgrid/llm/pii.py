@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import send
+from .common import send, smallest_hashes
 
 #: In the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone")
 LENGTH, STRIDE = 64, 32
-#: Windows the tagger is trained on, at most.
-SAMPLE_WINDOWS = 1500
+#: Texts with a digit or an @, and windows of them, that the tagger is trained on, at most.
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 1000, 1500
 SYMBOLS, EMBED, HIDDEN, TAGS = 130, 12, 16, 1 + 2 * len(KINDS)
 EPOCHS, BATCH, RATE = 4, 50, 0.02
 #: Least posterior, the lowest over its characters, of an added span.
@@ -315,7 +315,7 @@ def train_tagger(docs: DataFrame, text_col: str = "text") -> Tagger | None:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(tags, pa.binary())], ["w", "y"])
 
     send(docs, None)
-    held = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    held = smallest_hashes(docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")), F.substring("text", 1, 200), SAMPLE_TEXTS)
     rows = held.mapInArrow(labelled, "w string, y binary").orderBy(F.xxhash64("w"), "w", "y").limit(SAMPLE_WINDOWS).collect()
     if not any(any(r["y"]) for r in rows):
         return None
