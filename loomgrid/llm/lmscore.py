@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, cut, send, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, cut, send, smallest_hashes, text_chunks, word_hashes, words
 
 #: Least share of the corpus of a word of the vocabulary.
 LEAST_SHARE = 1e-5
@@ -152,7 +152,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     """id, n_tokens, score of every row of docs; targets: identifiers of the rows the target model is of."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS).toPandas()["id"].to_numpy(dtype=np.int64)
+    wanted = smallest_hashes(wanted, F.col("id"), TARGET_ROWS).toPandas()["id"].to_numpy(dtype=np.int64)
     held = send(docs, (np.sort(wanted), None))
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     single = own.mapInArrow(_counting(_words, held), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
