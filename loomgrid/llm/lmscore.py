@@ -25,47 +25,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, cut, send, smallest_hashes, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, bloom, cut, in_bloom, send, text_chunks, word_hashes, words
 
 #: Least share of the corpus of a word of the vocabulary.
 LEAST_SHARE = 1e-5
 #: Weight of the bigram against the unigram; added to every unigram count.
 BIGRAM_WEIGHT, ADDED = 0.7, 1.0
-#: Identifiers of target texts that are sent to the executors, at most.
-TARGET_ROWS = 20_000
 #: Bytes of text of one chunk, on average; distinct keys a task holds before it passes them on.
 CHUNK_BYTES, HELD = 8 << 20, 1 << 20
 
 
-def _tally(key: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tally(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(key, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64), np.bincount(at, weights=t, minlength=len(keys)).astype(np.int64)
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
 
 
-def _counting(keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, n, t): occurrences in all texts and in target texts, summed within a task up to HELD keys at a time."""
+def _counting(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n): occurrences in the texts, summed within a task up to HELD keys at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = held.value[0]
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return _tally(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _tally(*(np.concatenate([p[i] for p in parts]) for i in range(2)))
 
-        def out(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(rows: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rows[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in rows], ["key", "n", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in rows], ["key", "n"])
 
         for batch in batches:
-            doc = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            wanted = np.isin(doc, target) & ~np.asarray(batch.column(0).is_null())
-            for row, data, off in text_chunks(batch.column(1)):
-                key, of = keys_of(data, off)
-                keys, at = np.unique(key, return_inverse=True)
-                of_target = wanted[row : row + len(off) - 1][of]
-                parts.append((keys, np.bincount(at, minlength=len(keys)), np.bincount(at[of_target], minlength=len(keys))))
-                size += len(keys)
+            for _, data, off in text_chunks(batch.column(0)):
+                parts.append(np.unique(keys_of(data, off), return_counts=True))
+                size += len(parts[-1][0])
                 if size > 2 * HELD:
                     parts = [merged()]
                     size = len(parts[0][0])
@@ -78,6 +70,14 @@ def _counting(keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
     return run
 
 
+def _counts(every: DataFrame, target: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """key, n, t: occurrences in all texts and in target texts."""
+    n, t = (x.select("text").mapInArrow(_counting(keys_of), "key long, n long") for x in (every, target))
+    zero = F.lit(0).cast("long")
+    rows = n.select("key", "n", zero.alias("t")).unionAll(t.select("key", zero.alias("n"), F.col("n").alias("t")))
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = words(data, off, NOT_ALNUM)
     return word_hashes(data, starts, ends).view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
@@ -152,11 +152,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     """id, n_tokens, score of every row of docs; targets: identifiers of the rows the target model is of."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    wanted = smallest_hashes(wanted, F.col("id"), TARGET_ROWS).toPandas()["id"].to_numpy(dtype=np.int64)
-    held = send(docs, (np.sort(wanted), None))
+    # every target text counts: they are found by a join, and a filter of fixed size spares most other texts its shuffle
+    target = in_bloom(own, bloom(wanted, "id"), "id").join(wanted, "id", "left_semi")
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    single = own.mapInArrow(_counting(_words, held), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    single = cut(single)
+    single = cut(_counts(own, target, lambda data, off: _words(data, off)[0]))
     total = single.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     chosen = single.where(F.col("n") >= (total["n"] or 0) * LEAST_SHARE).toPandas().sort_values("key")
     counts = np.zeros((2, len(chosen) + 2))
@@ -164,13 +163,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     counts[:, 0] = (total["n"] or 0) - counts[0].sum(), (total["t"] or 0) - counts[1].sum()
     vocabulary = chosen["key"].to_numpy(dtype=np.int64)
 
-    grams = send(docs, (np.sort(wanted), vocabulary))
-
-    def keys_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _bigrams(data, off, grams.value[1])
-
-    pairs = own.mapInArrow(_counting(keys_of, grams), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    pairs = cut(pairs)
+    grams = send(docs, vocabulary)
+    pairs = cut(_counts(own, target, lambda data, off: _bigrams(data, off, grams.value)[0]))
     starts = pairs.where(F.col("key") >= F.lit((len(vocabulary) + 1) * (len(vocabulary) + 2))).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     counts[:, -1] = starts["n"] or 0, starts["t"] or 0
 

@@ -138,6 +138,14 @@ def test_cross_entropy_equals_brute_force(spark, monkeypatch):
         assert got[d][0] == n and abs(got[d][1] - score) < 1e-9
 
 
+def test_every_target_text_counts(spark):
+    """More targets than were once sent to the executors; the last ones alone hold the word b."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", f"CASE WHEN id < {n // 2} THEN 'a a' ELSE 'b a' END AS text")
+    got = {r["id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(docs, docs.select("doc_id")).collect()}
+    assert len(got) == n and all(size == 2 and abs(score) < 1e-12 for size, score in got.values())
+
+
 def test_cross_entropy_edges(spark):
     targets = spark.createDataFrame([(1,)], "doc_id long")
     assert lmscore.cross_entropy_difference(messy(spark), targets).count() == len(messy_rows())
