@@ -4,12 +4,12 @@ Two bigram models, one of target texts and one of the whole corpus, share one vo
 smoothing (a bigram is interpolated with the smoothed unigram). A text's score is its mean loss per
 token under the target model less that under the background model: the lower, the more like the target.
 
-The vocabulary is every word that makes up at least LEAST_SHARE of the corpus, so it has at most
-1 / LEAST_SHARE words by arithmetic; all other words are one unknown word. Bigram counts cover the whole
-corpus, grow with it and stay distributed: they are summed per task, then by key. For scoring,
-documents are dealt to chunks by identifier; a chunk asks once for each of its distinct bigrams, the
-counts come back by chunk, and the chunk is scored beside them. A frequent bigram thus costs one row a
-chunk, however often it occurs.
+Every word is in the vocabulary, unless LEAST_SHARE is set, which makes rarer words one unknown word.
+Words and bigrams are keyed by 64-bit hashes, and nothing of their number goes to the driver or is
+broadcast. Documents are dealt to chunks by identifier, and so are the target's identifiers; a chunk
+sends each of its distinct words and bigrams once, with its counts, to the bucket of the key's range; the
+bucket sums them over all chunks and sends the sums back to each chunk that has the key, and the chunk is
+scored beside them. A frequent bigram thus costs one entry a chunk, however often it occurs.
 
 Defined cases: a null or empty text has no tokens and score 0; rows repeated under one identifier get
 one score each; a row without an identifier is scored like any other; an empty target gives score
@@ -18,6 +18,7 @@ differences from smoothing alone; very long texts are scored whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bloom, cut, in_bloom, send, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, U, mix, send, text_chunks, word_hashes, words
 
-#: Least share of the corpus of a word of the vocabulary.
-LEAST_SHARE = 1e-5
+#: Least share of the corpus of a word of the vocabulary; 0 keeps every word.
+LEAST_SHARE = 0.0
 #: Weight of the bigram against the unigram; added to every unigram count.
 BIGRAM_WEIGHT, ADDED = 0.7, 1.0
 #: Bytes of text of one chunk, on average; distinct keys a task holds before it passes them on.
 CHUNK_BYTES, HELD = 8 << 20, 1 << 20
-
+#: Keys of the unknown word and of the start of a text.
+UNKNOWN, START = 0, 1
 
 def _tally(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(key, return_inverse=True)
@@ -70,79 +72,122 @@ def _counting(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callab
     return run
 
 
-def _counts(every: DataFrame, target: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """key, n, t: occurrences in all texts and in target texts."""
-    n, t = (x.select("text").mapInArrow(_counting(keys_of), "key long, n long") for x in (every, target))
-    zero = F.lit(0).cast("long")
-    rows = n.select("key", "n", zero.alias("t")).unionAll(t.select("key", zero.alias("n"), F.col("n").alias("t")))
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = words(data, off, NOT_ALNUM)
     return word_hashes(data, starts, ends).view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
 
 
-def _bigrams(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key (left * (V + 2) + right) of each bigram and its text; word 0 is unknown, V + 1 is the start of a text."""
-    h, of = _words(data, off)
-    if not len(h):
-        return np.zeros(0, dtype=np.int64), of
-    at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
-    word = np.where(vocabulary[at] == h, at + 1, 0) if len(vocabulary) else np.zeros(len(h), dtype=np.int64)
+def _grams(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the word, of the one before it and of both together at each place, and its text."""
+    word, of = _words(data, off)
+    if vocabulary is not None:
+        word = np.where(np.isin(word, vocabulary), word, UNKNOWN)
     left = np.empty_like(word)
     left[1:] = word[:-1]
-    left[0] = len(vocabulary) + 1
-    left[1:][of[1:] != of[:-1]] = len(vocabulary) + 1
-    return left * (len(vocabulary) + 2) + word, of
-
-
-class Unigrams:
-    """Vocabulary (sorted hashes) and unigram counts, of all texts and of target texts, by word number."""
-
-    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray) -> None:
-        self.vocabulary, self.counts = vocabulary, counts  # counts: (2, V + 2)
+    left[:1] = START
+    left[1:][of[1:] != of[:-1]] = START
+    return word, left, mix(mix(left.view(U) + U(0x9E3779B97F4A7C15)) + word.view(U)).view(np.int64), of
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [np.diff(words(data, off, NOT_ALNUM)[2]) for _, data, off in text_chunks(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *n]), pa.int64())], ["id", "n"])
+
+
+def _packed(values: np.ndarray, ends: np.ndarray, rising: bool = False) -> pa.Array:
+    """Runs of values as binary, the bytes of one weight side by side; ends: 0, then the end of each run.
+
+    Rising ones (keys) as differences, whose high bytes are equal; others (counts) compressed."""
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        run = np.diff(values[a:b], prepend=0) if rising else values[a:b]
+        planes = run.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        out.append(planes if rising else zlib.compress(planes, 1))
+    return pa.array(out, pa.binary())
+
+
+def _unpacked(blobs: list[bytes], rising: bool = False) -> list[np.ndarray]:
+    out = []
+    for x in blobs:
+        planes = np.frombuffer(x if rising else zlib.decompress(x), dtype=np.uint8).reshape(8, -1)
+        run = np.ascontiguousarray(planes.T).view("<i8").ravel()
+        out.append(np.cumsum(run) if rising else run)
+    return out
+
+
+def _joined(runs: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *runs])
+
+
+def _sent(held, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The keys of a chunk with their counts in it, of all texts and of target texts, a row for each bucket."""
+
+    def run(rows: pa.Table, targets: pa.Table) -> pa.Table:
+        target = np.unique(targets.column("id").to_numpy())
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64),) * 3]
+        for batch in rows.to_batches():
+            doc = batch.column("id")
+            wanted = np.isin(doc.fill_null(-1).to_numpy(zero_copy_only=False), target) & ~np.asarray(doc.is_null())
+            for row, data, off in text_chunks(batch.column("text")):
+                word, left, pair, of = _grams(data, off, held.value)
+                first = left == START
+                key, at = np.unique(np.concatenate((word, pair, left[first])), return_inverse=True)
+                of_target = wanted[row + np.concatenate((of, of, of[first]))]
+                parts.append((key, np.bincount(at, minlength=len(key)), np.bincount(at[of_target], minlength=len(key))))
+        key, n, t = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        (key, n), t = _tally(key, n), _tally(key, t)[1]
+        bucket = ((key >> 34) + (1 << 29)) * buckets >> 30
+        ends = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(key)]))
+        chunk = rows.column("chunk")[0].as_py() if rows.num_rows else 0
+        size = len(ends) - 1
+        return pa.table({"bucket": pa.array(bucket[ends[:-1]], pa.int64()), "chunk": pa.array(np.full(size, chunk), pa.int64())} | {"k": _packed(key, ends, True), "n": _packed(n, ends), "t": _packed(t, ends)})
 
-    def difference(self, key: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Loss under the target model less loss under the background model of each bigram."""
-        width = len(self.vocabulary) + 2
-        left, right = key // width, key % width
-        loss = []
-        for pair, count in ((n, self.counts[0]), (t, self.counts[1])):
-            single = (count[right] + ADDED) / (count[: width - 1].sum() + ADDED * (width - 1))
-            before = count[left]
-            both = np.where(before > 0, pair / np.maximum(before, 1), single)
-            loss.append(-np.log(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * single))
-        return loss[1] - loss[0]
+    return run
 
 
-def _asks(held) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
-        vocabulary = held.value.vocabulary
-        keys = [np.unique(_bigrams(data, off, vocabulary)[0]) for texts in rows.column("text").chunks for _, data, off in text_chunks(texts)]
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(key), rows.column("chunk")[0].as_py()), pa.int32()), "key": pa.array(key, pa.int64())})
+def _summed(rows: pa.Table) -> pa.Table:
+    """The counts of a bucket's keys over all chunks, for each chunk in the order of its own keys."""
+    runs = _unpacked(rows.column("k").to_pylist(), True)
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in runs]))).astype(np.int64)
+    keys, at = np.unique(_joined(runs), return_inverse=True)
+    n, t = (np.bincount(at, weights=_joined(_unpacked(rows.column(c).to_pylist())), minlength=len(keys)).astype(np.int64)[at] for c in "nt")
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "n": _packed(n, ends), "t": _packed(t, ends)})
 
-    return run
 
+def _scores(held, size: int, totals: tuple[int, int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """size: words of the vocabulary and the unknown one; totals: tokens of all texts and of target texts."""
 
-def _scores(held) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        unigrams = held.value
-        key = counts.column("key").to_numpy()
-        order = np.argsort(key)
-        key, n, t = key[order], counts.column("n").to_numpy()[order], counts.column("t").to_numpy()[order]
-        value = unigrams.difference(key, n, t)
-        score, tokens = np.zeros(rows.num_rows), np.zeros(rows.num_rows, dtype=np.int64)
-        base = 0
+        pieces, base = [], 0
         for texts in rows.column("text").chunks:
             for row, data, off in text_chunks(texts):
-                own, of = _bigrams(data, off, unigrams.vocabulary)
-                size = np.bincount(of, minlength=len(off) - 1)
-                total = np.bincount(of, weights=value[np.searchsorted(key, own)], minlength=len(off) - 1) if len(own) else np.zeros(len(off) - 1)
-                at = slice(base + row, base + row + len(off) - 1)
-                tokens[at], score[at] = size, total / np.maximum(size, 1)
+                word, left, pair, of = _grams(data, off, held.value)
+                pair, first, again = np.unique(pair, return_index=True, return_inverse=True)
+                pieces.append((base + row, len(off) - 1, word[first], left[first], pair, again, of))
             base += len(texts)
+        # the keys that this chunk sent; buckets are ranges of keys, so the answers in their order are in that of the keys
+        key = np.unique(_joined([np.unique(np.concatenate(p[2:5])) for p in pieces]))
+        order = np.argsort(counts.column("bucket").to_numpy())
+        n, t = (_joined(_unpacked(counts.column(c).take(pa.array(order)).to_pylist())) for c in "nt")
+
+        def difference(word: np.ndarray, left: np.ndarray, pair: np.ndarray) -> np.ndarray:
+            """Loss under the target model less loss under the background model."""
+            word, left, pair = (np.searchsorted(key, x) for x in (word, left, pair))
+            loss = []
+            for count, total in ((n, totals[0]), (t, totals[1])):
+                single = (count[word] + ADDED) / (total + ADDED * size)
+                before = count[left]
+                both = np.where(before > 0, count[pair] / np.maximum(before, 1), single)
+                loss.append(-np.log(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * single))
+            return loss[1] - loss[0]
+
+        score, tokens = np.zeros(rows.num_rows), np.zeros(rows.num_rows, dtype=np.int64)
+        for row, texts_in, word, left, pair, again, of in pieces:
+            own = np.bincount(of, minlength=texts_in)
+            total = np.bincount(of, weights=difference(word, left, pair)[again], minlength=texts_in)
+            at = slice(row, row + texts_in)
+            tokens[at], score[at] = own, total / np.maximum(own, 1)
         return pa.table({"id": rows.column("id"), "n_tokens": pa.array(tokens), "score": pa.array(score)})
 
     return run
@@ -152,25 +197,23 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     """id, n_tokens, score of every row of docs; targets: identifiers of the rows the target model is of."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    # every target text counts: they are found by a join, and a filter of fixed size spares most other texts its shuffle
-    target = in_bloom(own, bloom(wanted, "id"), "id").join(wanted, "id", "left_semi")
-    size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    single = cut(_counts(own, target, lambda data, off: _words(data, off)[0]))
-    total = single.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    chosen = single.where(F.col("n") >= (total["n"] or 0) * LEAST_SHARE).toPandas().sort_values("key")
-    counts = np.zeros((2, len(chosen) + 2))
-    counts[:, 1:-1] = chosen[["n", "t"]].to_numpy(dtype=np.float64).T
-    counts[:, 0] = (total["n"] or 0) - counts[0].sum(), (total["t"] or 0) - counts[1].sum()
-    vocabulary = chosen["key"].to_numpy(dtype=np.int64)
-
-    grams = send(docs, vocabulary)
-    pairs = cut(_counts(own, target, lambda data, off: _bigrams(data, off, grams.value)[0]))
-    starts = pairs.where(F.col("key") >= F.lit((len(vocabulary) + 1) * (len(vocabulary) + 2))).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    counts[:, -1] = starts["n"] or 0, starts["t"] or 0
-
-    model = send(docs, Unigrams(vocabulary, counts))
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(chunks)).cast("int"))
-    asked = dealt.groupBy("chunk").applyInArrow(_asks(model), "chunk int, key long")
-    answers = asked.join(pairs, "key").select("chunk", "key", "n", "t")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(model), "id long, n_tokens long, score double")
+    send(docs, None)
+    bytes_in = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    of_target = own.mapInArrow(_tokens, "id long, n long").join(wanted, "id", "left_semi").agg(F.sum("n").alias("n")).first()["n"] or 0
+    single = own.select("text").mapInArrow(_counting(lambda data, off: _words(data, off)[0]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    if LEAST_SHARE:
+        single = single.persist()
+    total = single.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).first()
+    vocabulary, size = None, total["words"] + 1
+    if LEAST_SHARE:
+        vocabulary = single.where(F.col("n") >= (total["n"] or 0) * LEAST_SHARE).toPandas()["key"].to_numpy(dtype=np.int64)
+        size = len(vocabulary) + 1
+        single.unpersist()
+
+    held = send(docs, vocabulary)
+    chunks = max(1, -(-bytes_in // CHUNK_BYTES))
+    chunk = lambda by: F.pmod(F.xxhash64(by), F.lit(chunks)).cast("long")
+    dealt = own.withColumn("chunk", chunk(F.coalesce("id", F.xxhash64("text")))).groupBy("chunk")
+    sent = dealt.cogroup(wanted.withColumn("chunk", chunk("id")).groupBy("chunk")).applyInArrow(_sent(held, chunks), "bucket long, chunk long, k binary, n binary, t binary")
+    counts = sent.groupBy("bucket").applyInArrow(_summed, "chunk long, bucket long, n binary, t binary")
+    return dealt.cogroup(counts.groupBy("chunk")).applyInArrow(_scores(held, size, (total["n"] or 0, of_target)), "id long, n_tokens long, score double")

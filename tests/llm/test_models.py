@@ -146,6 +146,20 @@ def test_every_target_text_counts(spark):
     assert len(got) == n and all(size == 2 and abs(score) < 1e-12 for size, score in got.values())
 
 
+def test_no_word_is_dropped_for_a_large_corpus(spark, monkeypatch):
+    """Words that occur once in more than 100,000 tokens, by their own counts, over several chunks and buckets."""
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 100_000)
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1000)) + f" rare{i} seldom{i % 7}") for i in range(220)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    targets = spark.range(0, 220, 3).withColumnRenamed("id", "doc_id")
+    got = {r["id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(docs, targets).collect()}
+    monkeypatch.setattr(lmscore, "LEAST_SHARE", 0.0)
+    want = brute_difference(rows, set(range(0, 220, 3)))
+    assert got.keys() == want.keys()
+    for d, (n, score) in want.items():
+        assert got[d][0] == n and abs(got[d][1] - score) < 1e-9
+
+
 def test_cross_entropy_edges(spark):
     targets = spark.createDataFrame([(1,)], "doc_id long")
     assert lmscore.cross_entropy_difference(messy(spark), targets).count() == len(messy_rows())
