@@ -33,6 +33,22 @@ def nearest(items: DataFrame, templates: DataFrame, distance: Column, k: int, ke
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest_in_pool(items: DataFrame, key: str, pool: str, vector: str, k: int, block: int = 500) -> DataFrame:
+    """The k nearest other items of the same pool, of the whole pool, ranked from 1; ties to the later item.
+
+    A pool is cut into blocks of about so many items, and every block meets every block of its pool,
+    so no task holds a pool; each pair of blocks leaves k rows an item."""
+    sizes = items.groupBy(pool).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("blocks"))
+    dealt = items.join(sizes, pool).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    right = dealt.select(pool, F.col("own").alias("other"), F.col(key).alias("ref_id"), F.col(vector).alias("rv"))
+    scored = left.join(right, [pool, "other"]).where(F.col(key) != F.col("ref_id")).withColumn("distance", F.round(squared_l2(F.col(vector), F.col("rv")), 9))
+    # of equal scores the later reference comes first
+    order = [F.col("distance"), F.desc("ref_id")]
+    near = scored.select(key, pool, "other", "ref_id", "distance").withColumn("rank", F.row_number().over(W.partitionBy(key, "other").orderBy(*order))).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def accuracy_at(ranked: DataFrame, key: str, truth: Column, predicted: Column, ks: tuple[int, ...]) -> DataFrame:
     """n and, for each k, the number of keys whose truth is among the first k candidates."""
     hit = ranked.groupBy(key).agg(F.min(F.when(truth == predicted, F.col("rank"))).alias("at"))

@@ -66,6 +66,18 @@ def q_pool_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("vec_id", "label", "ref_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id, a.label, b.vec_id AS ref_id, round(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 9) AS distance
+      FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id <> b.vec_id)
+SELECT vec_id, label, ref_id, rank, round(distance, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id DESC)::INT AS rank FROM s) WHERE rank <= 3""")
+def q_pool_crossmatch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest others of the whole label. q_pool_crossmatch, as its SQL, meets the first 20 of each label only."""
+    items = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return M.nearest_in_pool(items, "vec_id", "label", "embedding", 3).select("vec_id", "label", "ref_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(RANKED_SQL + """, b AS (SELECT vec_id, min(CASE WHEN t_label < 5 THEN distance END) AS bare, min(CASE WHEN t_label >= 5 THEN distance END) AS ext FROM r GROUP BY vec_id)
 SELECT vec_id, round(bare, 6) AS bare, round(ext, 6) AS extended, coalesce(-ext > -bare + 0.04, false) AS use_extended FROM b""")
 def q_margin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,3 +222,16 @@ def test_nearest_and_random_ties(spark):
     data = {x["i"]: x["v"] for x in items.collect()}
     for i, v in data.items():
         assert got[i] == min(range(6), key=lambda j: (sum((a - b) ** 2 for a, b in zip(v, data[j], strict=True)), j))
+
+
+def test_nearest_in_pool_meets_the_whole_pool(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 3, [float(rng.randrange(4)) for _ in range(3)]) for i in range(120)]
+    items = spark.createDataFrame(rows, "vec_id long, label int, v array<float>")
+    want = set()
+    for i, pool, v in rows:
+        others = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), -j) for j, p, w in rows if p == pool and j != i)
+        want |= {(i, -j, rank + 1, d) for rank, (d, j) in enumerate(others[:3])}
+    for block in (7, 500):
+        got = M.nearest_in_pool(items, "vec_id", "label", "v", 3, block).collect()
+        assert {(r["vec_id"], r["ref_id"], r["rank"], r["distance"]) for r in got} == want
