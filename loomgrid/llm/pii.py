@@ -2,7 +2,7 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers in whole texts. The
 tagger is trained in numpy on windows with labelled spans (those of the patterns, from a bounded
-sample) and read over overlapping windows of every text. All four kinds hold a digit or an @, so windows
+sample) and read over overlapping windows of every text, and again over wider ones where a window's edge cuts a span. All four kinds hold a digit or an @, so windows
 without either cannot hold a span and are passed over. Decoded spans are moved to places in the text,
 merged over windows, and kept by posterior if they are well formed, clear of all pattern spans and of
 better ones. Pattern spans always stay.
@@ -95,9 +95,9 @@ def base_spans(text: str) -> list[Span]:
 # --- tagger --------------------------------------------------------------------------------------
 
 
-def symbols(texts: list[str]) -> np.ndarray:
-    """One row of LENGTH symbols per window: ASCII as it is, 128 for all else, 129 behind the end."""
-    out = np.full((len(texts), LENGTH), 129, dtype=np.int64)
+def symbols(texts: list[str], length: int = LENGTH) -> np.ndarray:
+    """One row of length symbols per window: ASCII as it is, 128 for all else, 129 behind the end."""
+    out = np.full((len(texts), length), 129, dtype=np.int64)
     for i, t in enumerate(texts):
         codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
         out[i, : len(codes)] = np.minimum(codes, 128)
@@ -227,17 +227,18 @@ class Tagger:
 
     def spans(self, w: np.ndarray) -> list[list[tuple[str, int, int, float]]]:
         """Kind, start, end and least posterior of the decoded spans of each window."""
-        out = []
-        for i in range(0, len(w), 512):
-            em, _ = self.emissions(w[i : i + 512])
+        out, length = [], w.shape[1]
+        rows = max(1, 512 * LENGTH // length)
+        for i in range(0, len(w), rows):
+            em, _ = self.emissions(w[i : i + rows])
             tags, post = self.viterbi(em), self.marginals(em)[0]
             sure = np.take_along_axis(post, tags[:, :, None], 2)[:, :, 0]
             for row, p in zip(tags, sure, strict=True):
                 own, at = [], 0
-                while at < LENGTH:
+                while at < length:
                     if row[at] % 2 == 1:
                         end = at + 1
-                        while end < LENGTH and row[end] == row[at] + 1:
+                        while end < length and row[end] == row[at] + 1:
                             end += 1
                         own.append((KINDS[row[at] // 2], at, end, float(p[at:end].min())))
                         at = end
@@ -276,13 +277,63 @@ def _well_formed(kind: str, text: str) -> bool:
     return re.fullmatch(r"[0-9+(][0-9 ().-]*[0-9]", text) is not None and _good(kind, text)
 
 
-def reconcile(text: str, base: list[Span], starts: list[int], decoded: list[list[tuple[str, int, int, float]]]) -> list[Span]:
-    """Pattern spans and the added ones, over the whole text."""
+Decoded = list[tuple[str, int, int, float]]
+
+
+def _is_cut(text: str, start: int, length: int, a: int, b: int) -> bool:
+    return (a == 0 and start > 0) or (b == length and start + length < len(text))
+
+
+def _to_widen(text: str, base: list[Span], windows: list[tuple[int, int]], decoded: list[Decoded]) -> list[tuple[int, int]]:
+    """Start and length of wider windows around the spans that a window's edge cuts and that no window has whole.
+
+    Those that touch a pattern span are left, as nothing is added there. Windows that overlap are read as one,
+    which keeps a round linear in the text; lengths are powers of two."""
+    cuts, whole = [], []
+    for (start, length), spans in zip(windows, decoded, strict=True):
+        for _, a, b, _ in spans:
+            (cuts if _is_cut(text, start, length, a, b) else whole).append((start + a, start + b, length))
+    out: list[list[int]] = []
+    for a, b, length in sorted(cuts):
+        if any(a < y and b > x for _, x, y in base) or any(x <= a and b <= y for x, y, _ in whole):
+            continue
+        a, b = max(0, a - length // 2), min(len(text), b + length // 2)
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, 1 << (b - a - 1).bit_length()) for a, b in out]
+
+
+def added_spans(tagger: Tagger | None, items: list[tuple[str, list[Span], list[int]]]) -> list[list[Span]]:
+    """The spans of texts with their pattern spans and window starts; spans cut by an edge are read again in wider windows."""
+    windows: list[list[tuple[int, int]]] = [[] for _ in items]
+    decoded: list[list[Decoded]] = [[] for _ in items]
+    waiting = [[(s, LENGTH) for s in starts] for _, _, starts in items]
+    while tagger and any(waiting):
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, own in enumerate(waiting):
+            for start, length in own:
+                by_length.setdefault(length, []).append((i, start))
+        new: list[tuple[list[tuple[int, int]], list[Decoded]]] = [([], []) for _ in items]
+        for length, places in by_length.items():
+            for (i, start), spans in zip(places, tagger.spans(symbols([items[i][0][s : s + length] for i, s in places], length)), strict=True):
+                new[i][0].append((start, length))
+                new[i][1].append(spans)
+        waiting = [_to_widen(text, base, *own) for (text, base, _), own in zip(items, new, strict=True)]
+        for i, (w, d) in enumerate(new):
+            windows[i] += w
+            decoded[i] += d
+    return [reconcile(text, base, own, d) if tagger else list(base) for (text, base, _), own, d in zip(items, windows, decoded, strict=True)]
+
+
+def reconcile(text: str, base: list[Span], windows: list[tuple[int, int]], decoded: list[Decoded]) -> list[Span]:
+    """Pattern spans and the added ones, over the whole text; windows: their starts and lengths."""
     best: dict[Span, float] = {}
-    for start, spans in zip(starts, decoded, strict=True):
+    for (start, length), spans in zip(windows, decoded, strict=True):
         for kind, a, b, p in spans:
-            # a span cut by the window's edge is whole in a neighbouring window
-            if (a == 0 and start > 0) or (b == LENGTH and start + LENGTH < len(text)) or start + b > len(text):
+            # a span cut by the window's edge is whole in another window, if need be a wider one
+            if _is_cut(text, start, length, a, b) or start + b > len(text):
                 continue
             key = (kind, start + a, start + b)
             best[key] = max(best.get(key, 0.0), p)
@@ -306,8 +357,9 @@ def train_tagger(docs: DataFrame, text_col: str = "text") -> Tagger | None:
                 for start in window_starts(text):
                     row = np.zeros(LENGTH, dtype=np.int8)
                     for kind, a, b in spans:
-                        a, b, k = a - start, b - start, KINDS.index(kind)
-                        if 0 <= a and b <= LENGTH and not row[a:b].any():
+                        # of a span that the window cuts, the part inside
+                        a, b, k = max(0, a - start), min(LENGTH, b - start), KINDS.index(kind)
+                        if a < b and not row[a:b].any():
                             row[a] = 1 + 2 * k
                             row[a + 1 : b] = 2 + 2 * k
                     texts.append(text[start : start + LENGTH])
@@ -333,26 +385,23 @@ def personal_data(text: str, df: DataFrame, tagger: Tagger | None) -> Column:
         for batch in batches:
             base, every = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
             waiting: list[tuple[int, str, list[int]]] = []
-            windows: list[str] = []
 
             def flush() -> None:
-                decoded = tagger.spans(symbols(windows)) if tagger and windows else [[] for _ in windows]
-                at = 0
-                for i, text, starts in waiting:
-                    every[i] = reconcile(text, base[i], starts, decoded[at : at + len(starts)])
-                    at += len(starts)
+                for (i, _, _), spans in zip(waiting, added_spans(tagger, [(text, base[i], starts) for i, text, starts in waiting]), strict=True):
+                    every[i] = spans
                 waiting.clear()
-                windows.clear()
 
+            held_windows = 0
             for i, x in enumerate(batch):
                 text = x.as_py() or ""
                 if _TRIGGER.search(text):
                     base[i] = base_spans(text)
                     starts = window_starts(text)
                     waiting.append((i, text, starts))
-                    windows += [text[s : s + LENGTH] for s in starts]
-                    if len(windows) >= 2048:
+                    held_windows += len(starts)
+                    if held_windows >= 2048:
                         flush()
+                        held_windows = 0
             flush()
             rows = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in x], kind) for x in (base, every)]
             yield pa.StructArray.from_arrays(rows, ["base", "spans"])

@@ -94,3 +94,20 @@ def test_columns(spark):
         assert base == brute(r["text"] or "") and set(base) <= set(every)
     clean = df.where("text is null or text = ''")
     assert pii.train_tagger(clean) is None
+
+
+class Runs(pii.Tagger):
+    """Every run of symbols but blanks, as far as the window shows it."""
+
+    def spans(self, w):
+        shown = ["".join("_" if c in (32, 129) else "x" for c in row) for row in w]
+        return [[("email", m.start(), m.end(), 0.99) for m in re.finditer("x+", s)] for s in shown]
+
+
+@pytest.mark.parametrize("length", [20, 40, 50, 63, 64, 65, 130, 700])
+def test_long_spans_are_found_at_every_offset(length):
+    mail = "é" * (length - 12) + "é@müller.org"[-12:]
+    for offset in range(70):
+        text = " " * (100 + offset) + mail + " " * 150
+        got = pii.added_spans(Runs(), [(text, pii.base_spans(text), pii.window_starts(text))])
+        assert got == [[("email", 100 + offset, 100 + offset + length)]]
