@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -15,17 +16,19 @@ from pyspark.sql import functions as F
 
 from ..session import ship as ship_package
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/loomgrid"
+#: Used only by a session on one machine that names no spark.checkpoint.dir, as in tests.
+LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/loomgrid"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; also makes checkpoint() usable."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or DEFAULT_CHECKPOINT_DIR)
-    return named or DEFAULT_CHECKPOINT_DIR
+        sc.setCheckpointDir(named or LOCAL_CHECKPOINT_DIR)
+    return named or LOCAL_CHECKPOINT_DIR
 
 
 #: Rows of an Arrow batch: texts may be long, and a task holds several batches at once.
@@ -70,6 +73,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that begin no column name of df, whatever its columns are called."""
+    have, prefix = [c.lower() for c in df.columns], "__"
+    while any(c.startswith(prefix) for c in have):
+        prefix += "_"
+    return [prefix + w for w in wanted]
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the time of one block; keys are written with __ for a dot."""
@@ -105,8 +116,6 @@ def smallest_hashes(df: DataFrame, key: Column, rows: int, per: str | None = Non
 # --- hashing -----------------------------------------------------------------------------------
 
 U = np.uint64
-_P = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_P_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,22 +128,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix((np.arange(256, dtype=U) + U(1)) * _P)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("p", _P), ("i", _P_INV)):
-            x = np.full(size, base, dtype=U)
-            x[0] = U(1)
-            _POWERS[key] = np.multiply.accumulate(x)
-    return _POWERS["p"][:n], _POWERS["i"][:n]
-
-
 # --- texts -------------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, dtype=bool)
@@ -180,12 +173,58 @@ def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges, A-Z read as a-z: differences of one running polynomial sum."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+class _Digests(dict):
+    """128-bit BLAKE2 digests of words, those of short words remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            self[word] = digest
+        return digest
+
+
+#: Digests that a Python worker remembers, and words that are split off at once.
+REMEMBERED_WORDS, WORDS_AT_ONCE = 150_000, 1 << 17
+_DIGESTS = _Digests()
+_TABLES: dict[bytes, bytes] = {}
+
+
+def _runs(data: np.ndarray, off: np.ndarray, gaps: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(text, words) of the texts of a chunk, A-Z read as a-z; a long text comes in pieces that end at a gap."""
+    table = _TABLES.setdefault(gaps.tobytes(), bytes(32 if gap else i + 32 if 65 <= i <= 90 else i for i, gap in enumerate(gaps.tolist())))
+    raw, bounds = data.tobytes().translate(table), off.tolist()
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        while b - a > piece:
+            end = raw.rfind(b" ", a, a + piece)
+            if end <= a:
+                end = raw.find(b" ", a + piece, b)
+            if end < 0:
+                break
+            yield i, raw[a:end].split()
+            a = end
+        yield i, raw[a:b].split()
+
+
+def word_digests(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of each word as two 64-bit numbers, and the number of words before each text (one more at the end).
+
+    The words are those of words(), without case in A-Z. The digest is cryptographic, so no choice of texts
+    makes words collide, and its halves are independent: what one half finds the other can confirm."""
+    count, out, held = np.zeros(max(0, len(off) - 1), dtype=np.int64), [np.zeros((0, 2), dtype=U)], []
+
+    def flush() -> None:
+        out.append(np.frombuffer(b"".join(map(_DIGESTS.__getitem__, held)), dtype=U).reshape(-1, 2))
+        held.clear()
+        if len(_DIGESTS) > REMEMBERED_WORDS:
+            _DIGESTS.clear()
+
+    for i, own in _runs(data, off, gaps):
+        count[i] += len(own)
+        held += own
+        if len(held) >= WORDS_AT_ONCE:
+            flush()
+    flush()
+    return np.concatenate(out), np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(count)))
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,27 +246,52 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), before
 
 
+# --- joins with hot keys -------------------------------------------------------------------------
+
+#: A key is hot if it has more rows than this and more than one in MAX_GROUPS of all rows.
+HOT_ROWS = 1000
+
+
+def attach(rows: DataFrame, values: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Inner join of rows with values, which has one row a key; size: its column with the key's number of rows.
+
+    At most MAX_GROUPS keys can have more than one in MAX_GROUPS of all rows, whatever the table, so the
+    values of hot keys are broadcast and their rows stay where they lie; all other keys go by a plain join.
+    Both sides are read twice, so they should be written or checkpointed tables."""
+    total = values.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = F.col(size) > max(HOT_ROWS, total // MAX_GROUPS)
+    few = values.where(hot)
+    if few.isEmpty():
+        return rows.join(values, key)
+    here = rows.join(F.broadcast(few), key)
+    there = rows.join(F.broadcast(few.select(*key)), key, "left_anti").join(values.where(~hot), key)
+    return here.unionByName(there)
+
+
 # --- bounded membership filters ------------------------------------------------------------------
 
-BLOOM_BITS = 1 << 23
+#: Least and most bits of a filter: at 8 bits a key the larger one serves 8 million keys, and lets more
+#: rows pass beyond that, which costs time and changes no result.
+BLOOM_BITS = (1 << 18, 1 << 26)
 
 
-def bloom_places(col: str, bits: int = BLOOM_BITS) -> list[Column]:
+def bloom_places(col: str, bits: int) -> list[Column]:
     """The places of a key in a filter, as columns __b0, __b1, __b2."""
     return [F.pmod(F.xxhash64(F.col(col).cast("long"), F.lit(seed)), F.lit(bits)).alias(f"__b{i}") for i, seed in enumerate((1, 2, 3))]
 
 
-def bloom(keys: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of one integer column: always bits/8 bytes on the driver, whatever the number of keys."""
+def bloom(keys: DataFrame, col: str) -> np.ndarray:
+    """A Bloom filter of one integer column, sized by the number of keys: on the driver at most 1/8 of BLOOM_BITS' larger value in bytes."""
+    keys = keys.where(F.col(col).isNotNull())
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], 1 << (8 * keys.count()).bit_length()))
     rows = (
-        keys.where(F.col(col).isNotNull())
-        .select(F.explode(F.array(*bloom_places(col, bits))).alias("at"))
+        keys.select(F.explode(F.array(*bloom_places(col, bits))).alias("at"))
         .groupBy(F.shiftright("at", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 32) AS int)))").alias("v"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(bits >> 5, dtype=np.uint32)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["v"].to_numpy(dtype=np.int64).astype(np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("v").to_numpy().astype(np.uint32)
     return out
 
 
@@ -241,11 +305,11 @@ def probe(table: np.ndarray, places: list[pa.Array]) -> np.ndarray:
 
 
 def in_bloom(df: DataFrame, table: np.ndarray, col: str) -> DataFrame:
-    """The rows of df whose key may be in the filter; only the places of the key go to Python."""
+    """The rows of df whose key may be in the filter, and those without a key; only the places of the key go to Python."""
     held = send(df, table)
 
     @F.arrow_udf("boolean")
     def among(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return pa.array(probe(held.value, [a, b, c]))
 
-    return df.where(F.col(col).isNotNull()).where(among(*bloom_places(col, len(table) * 32)))
+    return df.where(F.col(col).isNull() | among(*bloom_places(col, len(table) * 32)))

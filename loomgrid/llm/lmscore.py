@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U, mix, send, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, U, mix, send, text_chunks, word_digests, words
 
 #: Least share of the corpus of a word of the vocabulary; 0 keeps every word.
 LEAST_SHARE = 0.0
@@ -73,8 +73,8 @@ def _counting(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callab
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = words(data, off, NOT_ALNUM)
-    return word_hashes(data, starts, ends).view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
+    word, first = word_digests(data, off, NOT_ALNUM)
+    return np.ascontiguousarray(word[:, 0]).view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
 
 
 def _grams(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

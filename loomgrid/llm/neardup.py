@@ -5,6 +5,9 @@ of the M slots (a Fisher-Yates shuffle carried from round to round), and slot p
 j + r. Values of round j are all under j + 1, so a text is finished after the first round that leaves
 no slot empty. Rounds run for all texts of a chunk at once.
 
+Words are known by 128-bit BLAKE2 digests. Signatures come from one half of them; sizes, classes and
+links are settled on the other half as well, so unlike words never pass for equal ones.
+
 Texts with the same set are one class from the start. Band keys of the classes are grouped; each
 bucket first compares its members with the smallest of them, as a star. Buckets whose members then are
 in different components are compared further, in blocks: members outside the bucket's largest
@@ -15,7 +18,10 @@ full sets.
 
 Defined cases: a null or empty text, or one without words, has no set and is linked with nothing; a
 text with fewer words than a shingle has its whole sequence as the only shingle. Rows without an
-identifier are linked with nothing and stay. Rows repeated under one identifier are one document.
+identifier are linked with nothing and stay. Rows repeated under one identifier are one document. Very
+long texts are read whole; an empty table gives an empty result; of a tie the smallest identifier
+stands for the group. Other columns play no part, and helper columns get names that the table does not
+have.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bloom, bloom_places, cut, mix, probe, send, settings, ship, shingle_hashes, text_chunks, tidy, word_hashes, words
+from .common import U, attach, bloom, bloom_places, cut, free_names, mix, probe, send, settings, ship, shingle_hashes, text_chunks, tidy, word_digests
 from .components import connected_components
 
 #: 32 bands of 5 slots: a pair with similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
@@ -36,7 +42,7 @@ SLOTS = BANDS * ROWS
 #: Elements whose permutations are held at once.
 ELEMENTS = 1 << 16
 #: Members of one slice and of one block of a bucket; shingles of the matrices that are multiplied.
-SLICE, BLOCK, WIDTH = 1024, 1024, 1 << 15
+SLICE, BLOCK, WIDTH = 512, 512, 1 << 15
 EMPTY = np.iinfo(np.int64).max
 
 
@@ -87,10 +93,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a chunk, and their number before each text."""
-    starts, ends, first = words(data, off)
-    h, before = shingle_hashes(word_hashes(data, starts, ends), first, k)
+def shingle_sets(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, of one half of the word digests, and their number before each text."""
+    h, before = shingle_hashes(np.ascontiguousarray(word), first, k)
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         h[a:b].sort()
     keep = np.ones(len(h), dtype=bool)
@@ -100,14 +105,21 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[keep], total[before]
 
 
+def _total(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One number of each set, whatever its order."""
+    sums = np.concatenate(([U(0)], np.cumsum(mix(h ^ U(0xA5A5A5A5)), dtype=U)))
+    return (sums[before[1:]] - sums[before[:-1]]).view(np.int64)
+
+
 def _profiles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, off in text_chunks(batch.column(1)):
-                h, before = shingle_sets(data, off, k)
-                n = np.diff(before)
-                sums = [np.concatenate(([U(0)], np.cumsum(mix(h ^ U(seed)), dtype=U))) for seed in (0xA5A5A5A5, 0x5A5A5A5A5A)]
-                d1, d2 = ((s[before[1:]] - s[before[:-1]]).view(np.int64) for s in sums)
+                word, first = word_digests(data, off)
+                h, before = shingle_sets(word[:, 0], first, k)
+                other, other_before = shingle_sets(word[:, 1], first, k)
+                n = np.maximum(np.diff(before), np.diff(other_before))
+                d1, d2 = _total(h, before), _total(other, other_before)
                 keys = band_keys(signatures(h, before))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(d1), pa.array(d2), lists], ["id", "n", "d1", "d2", "keys"])
@@ -118,19 +130,21 @@ def _profiles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """id, set (packed sorted hashes) of the rows of own that wanted may name; filter and sets share one Python worker."""
-    held = send(own, bloom(wanted, "id"))
+    table = bloom(wanted, "id")
+    held, bits = send(own, table), len(table) * 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
             batch = batch.filter(pa.array(probe(table, [batch.column(i) for i in (2, 3, 4)])))
             for row, data, off in text_chunks(batch.column(1)):
-                h, before = shingle_sets(data, off, k)
+                word, first = word_digests(data, off)
+                h, before = shingle_sets(word[:, 1], first, k)
                 raw = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer((before * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(before) - 1), raw.cast(pa.binary())], ["id", "set"])
         tidy()
 
-    return own.where("id is not null").select("id", "text", *bloom_places("id")).mapInArrow(run, "id long, set binary")
+    return own.where("id is not null").select("id", "text", *bloom_places("id", bits)).mapInArrow(run, "id long, set binary")
 
 
 def _linked(a: Column, b: Column, percent: int) -> Column:
@@ -233,8 +247,8 @@ def _open_buckets(labelled: DataFrame) -> DataFrame:
     by_key = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.max(F.struct("n", "comp")).alias("main"))
     # pairs with the smallest member are known from the star, so two members are no news
     by_key = by_key.where("n > main.n and n > 2").groupBy("members", "n").agg(F.min(F.struct("key", "main")).alias("k"))
-    by_key = by_key.select("k.key", F.col("n").alias("size"), F.col("k.main.comp").alias("main"), F.col("k.main.n").alias("inside"))
-    rows = labelled.join(by_key, "key")
+    by_key = cut(by_key.select("k.key", F.col("n").alias("size"), F.col("k.main.comp").alias("main"), F.col("k.main.n").alias("inside")))
+    rows = attach(labelled, by_key, ["key"], "size")
     rows = rows.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int")).withColumn("blocks", F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"))
     asks = F.col("comp") != F.col("main")
     one = (F.col("slices") == 1) & (F.col("blocks") == 1)
@@ -254,11 +268,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     everyone = cut(own.mapInArrow(_profiles(k), "id long, n long, d1 long, d2 long, keys array<long>"))
     rows = everyone.select("id", "n", "d1", "d2")
     # one class per set; the smallest identifier stands for it
-    classes = everyone.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("doc"), F.first("keys").alias("keys"))
+    classes = everyone.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("doc"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     banded = classes.select("n", "doc", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("other")).where("center != other")
-    held = cut(banded.join(buckets.select("key", "center"), "key").select("key", "doc", "n", "center"))
+    buckets = cut(banded.groupBy("key").agg(F.min("doc").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    held = cut(attach(banded, buckets, ["key"], "members").select("key", "doc", "n", "center"))
 
     # the star of each bucket; sizes alone rule many links out
     similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
@@ -267,7 +281,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _verified(cut(stars.select(F.col("center").alias("a"), F.col("doc").alias("b"))), own, k, percent)
     labels = connected_components(links)
 
-    labelled = held.join(labels, held["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    labelled = cut(held.join(labels, held["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("comp")))
     left = cut(_open_buckets(labelled))
     if not left.isEmpty():
         with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
@@ -278,15 +292,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
 
-    final = classes.select("d1", "d2", "n", "doc").join(labels, F.col("doc") == F.col("node"), "left")
-    final = final.select("d1", "d2", "n", F.coalesce("component", "doc").alias("comp"))
-    out = rows.where("n > 0 and id is not null").join(final, ["d1", "d2", "n"]).select("id", "n", "comp")
+    final = classes.select("d1", "d2", "n", "doc", "copies").join(labels, F.col("doc") == F.col("node"), "left")
+    final = cut(final.select("d1", "d2", "n", "copies", F.coalesce("component", "doc").alias("comp")))
+    out = attach(rows.where("n > 0 and id is not null"), final, ["d1", "d2", "n"], "copies").select("id", "n", "comp")
     alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp"))
     return out.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which no nearly equal row has a smaller identifier, all columns as they were."""
+    (name,) = free_names(docs, "gone")
     groups = near_groups(docs, id_col, text_col, k, percent)
-    gone = groups.where("component_id != id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = groups.where("component_id != id").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")

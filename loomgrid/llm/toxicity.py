@@ -1,56 +1,58 @@
 """Toxic passages by maximum-scoring segment search.
 
-A token's score is its log-odds between toxic and other labelled texts under an informative Dirichlet
-prior that is the token's frequency in the whole corpus; tokens whose log-odds are not significant,
-and all others, get a small negative score. One linear scan finds all maximal scoring segments of a
-text. Scores of random text follow an extreme-value law with parameters lambda and K, so a segment of
-score S in n tokens has E = K n exp(-lambda S), K calibrated on texts that are not toxic; segments of small E are the passages, and a logistic
-curve fitted on labelled texts turns the best segment and the number of passages into a probability.
-
-Tokens are runs of letters and digits without case. A token has a form for the whole word and one for
-each of its beginnings of 4 and 5 bytes, so inflected words count too; the best form is its score.
-Forms are counted under two independent hashes, and the smaller score of the two holds, so a rare word
-that shares a bucket with a toxic one stays neutral.
+A token has two forms: the whole word, and its beginning of BEGINNING bytes, so that inflected words
+count too. A form's score is its log-odds between toxic and other labelled texts under an informative
+Dirichlet prior, the form's frequency in the whole corpus, less CAUTION standard errors; both are of
+numbers of texts, so no single text, however long, makes a form significant. A token is scored by its
+most specific form that LEAST_TEXTS labelled texts have; tokens whose score is under LEAST_LOG_ODDS, and
+all others, get a small negative score. One linear scan finds all maximal scoring segments of a text.
+Scores of random text follow an extreme-value law with parameters lambda and K, so a segment of score S
+in n tokens has E = K n exp(-lambda S), K calibrated on texts that are not toxic; segments of small E are
+the passages, and a logistic curve fitted on labelled texts turns the best segment and the number of
+passages into a probability.
+
+Tokens are runs of letters and digits without case in A-Z. Forms are keyed by halves of 128-bit
+digests; only those of the bounded labelled sample are kept, so no table grows with the corpus, and
+their corpus frequencies are counted over all texts.
 
 Defined cases: null and empty texts have no passage and get the score of texts without one; rows
-repeated get the same score; without labels of both kinds every score is 0; very long texts are
-scanned whole.
+repeated get the same score; a text labelled both ways counts as toxic; without labels of both kinds
+every score is 0; very long texts are scanned whole; an empty table gives an empty result; of segments
+of equal score the first and shortest is the maximal one. Results are columns of expressions, so other
+columns of a table cannot clash with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U, mix, send, smallest_hashes, text_chunks, word_hashes, words
+from .common import NOT_ALNUM, U, cut, mix, send, smallest_hashes, text_chunks, tidy, word_digests, words
 
 #: Labelled rows the scores are learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Buckets of each of the two hashes.
-BITS = 18
-#: Bytes of the beginnings of a word that are forms of it.
-BEGINNINGS = (4, 5)
-#: Weight of the prior in tokens; least log-odds and standard scores of a toxic token; score of all others.
-PRIOR, LEAST_LOG_ODDS, LEAST_Z, NEUTRAL = 2000.0, 1.0, 4.0, -0.3
+#: Bytes of the beginning of a word that is a form of it.
+BEGINNING = 5
+#: Weight of the prior in texts; labelled texts that a form must be in; standard errors taken off the
+#: log-odds; least score of a toxic token; score of all others.
+PRIOR, LEAST_TEXTS, CAUTION, LEAST_LOG_ODDS, NEUTRAL = 30.0, 8, 1.64, 1.0, -0.1
 #: A segment is a passage if fewer than so many as good are expected in random text of the same length.
 SIGNIFICANT = 0.05
-
-
-def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bucket numbers of each hash; those of the second hash come after those of the first."""
-    return (h >> U(64 - BITS)).astype(np.int64), ((h & U((1 << BITS) - 1)).astype(np.int64)) + (1 << BITS)
+#: -log E of a text without segments, and the most that counts.
+NO_SEGMENT, MOST = -5.0, 40.0
 
 
 @dataclass
 class Model:
-    """Token scores by bucket, extreme-value parameters, and the logistic curve."""
+    """Sorted keys of the forms with evidence, their scores, extreme-value parameters, and the logistic curve."""
 
-    weights: np.ndarray
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
     k: float = 0.1
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -82,89 +84,120 @@ def segments(at: np.ndarray, score: np.ndarray, neutral: float = NEUTRAL) -> lis
     return [(int(a), int(b), d - c) for a, b, c, d in out]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """Score of each bucket: log-odds where they are significant, else neutral."""
-    alpha = PRIOR * (corpus + 1e-3) / (corpus.sum() + 1e-3 * len(corpus))
-    t, o = toxic + alpha, other + alpha
-    delta = np.log(t / (t.sum() - t)) - np.log(o / (o.sum() - o))
-    z = delta / np.sqrt(1 / t + 1 / o)
-    return np.where((delta >= LEAST_LOG_ODDS) & (z >= LEAST_Z), delta, NEUTRAL)
+def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray, texts: tuple[int, int, int]) -> np.ndarray:
+    """Score of each form from the toxic, other and all texts that have it; texts: how many there are of each."""
+    share = np.clip(corpus / max(1, texts[2]), 1e-9, 1)
+    t, o = toxic + PRIOR * share, other + PRIOR * share
+    delta = np.log(t / (texts[0] + PRIOR - t + 1e-9)) - np.log(o / (texts[1] + PRIOR - o + 1e-9))
+    sure = delta - CAUTION * np.sqrt(1 / t + 1 / o)
+    return np.where(sure >= LEAST_LOG_ODDS, sure, NEUTRAL)
 
 
-def extreme_value(weights: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
-    """lambda with mean exp(lambda * score) = 1 over random tokens, and a K from the decay of neutral runs."""
-    p = counts / max(1.0, counts.sum())
+def extreme_value(tokens: int, positive: np.ndarray) -> float:
+    """lambda with mean exp(lambda * score) = 1 over the tokens of texts that are not toxic; positive: their scores over 0."""
 
     def excess(lam: float) -> float:
-        with np.errstate(over="ignore"):
-            return float((p * np.exp(np.minimum(lam * weights, 700))).sum()) - 1
+        return (np.exp(np.minimum(lam * positive, 700)).sum() + (tokens - len(positive)) * np.exp(lam * NEUTRAL)) / max(1, tokens) - 1
 
-    if not (weights[counts > 0] > 0).any():
-        return 1.0, 0.1
-    low, high = 1e-6, 50.0
-    for _ in range(80):
+    low, high = 1e-6, 10.0
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    positive = float(p[weights > 0].sum())
-    return low, max(1e-6, positive * (1 - np.exp(low * NEUTRAL)))
+    return low
+
+
+def _forms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the whole word and of the beginning of each token, and the number of tokens before each text."""
+    digest, first = word_digests(data, off, NOT_ALNUM)
+    starts, ends, _ = words(data, off, NOT_ALNUM)
+    whole = np.ascontiguousarray(digest[:, 0]).view(np.int64)
+    # a beginning is its bytes themselves, so equal beginnings alone have equal keys; A-Z read as a-z
+    padded = np.concatenate((data, np.zeros(BEGINNING, dtype=np.uint8)))
+    padded = np.where((padded >= 65) & (padded <= 90), padded + 32, padded).astype(U)
+    start = np.zeros(len(starts), dtype=U)
+    for j in range(BEGINNING):
+        start = start << U(8) | padded[starts + j]
+    start = mix(start).view(np.int64)
+    # a word of no more than that many bytes is its own beginning
+    return whole, np.where(ends - starts > BEGINNING, start, whole), first
+
+
+def _lookup(model: Model, key: np.ndarray) -> np.ndarray:
+    """Score of each key, not a number without evidence."""
+    if not len(model.keys):
+        return np.full(len(key), np.nan)
+    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+    return np.where(model.keys[at] == key, model.scores[at], np.nan)
+
+
+def _scan(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, list[tuple[int, int, float]]]]]:
+    """Number of tokens before each text, and for texts with toxic tokens the scores of those and their segments."""
+    whole, start, first = _forms(data, off)
+    w = _lookup(model, whole)
+    unknown = np.flatnonzero(np.isnan(w))
+    w[unknown] = _lookup(model, start[unknown])
+    w[np.isnan(w)] = NEUTRAL
+    hits = np.flatnonzero(w > 0)
+    of = np.searchsorted(first, hits, "right") - 1
+    found = {}
+    for text, own in zip(*_groups(of, hits), strict=True):
+        found[text] = (w[own], segments(own - first[text], w[own]))
+    return first, w, found
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts, ends, number of tokens before each text, and the hashes of each form of the tokens."""
-    starts, ends, first = words(data, off, NOT_ALNUM)
-    beginnings = [mix(word_hashes(data, starts, np.minimum(starts + n, ends)) ^ U(n)) for n in BEGINNINGS]
-    return starts, ends, first, [word_hashes(data, starts, ends), *beginnings]
+def _groups(of: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    edge = np.flatnonzero(np.diff(of)) + 1
+    return of[np.concatenate(([0], edge))].tolist() if len(of) else [], np.split(values, edge) if len(of) else []
 
 
-def _scan(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float, float]]]]:
-    """Number of tokens of each text, and for texts with toxic tokens their segments (byte range, score, E)."""
-    starts, ends, first, forms = _tokens(data, off)
-    w = np.full(len(starts), NEUTRAL)
-    for a, b in map(buckets, forms):
-        np.maximum(w, np.minimum(model.weights[a], model.weights[b]), out=w)
-    hits = np.flatnonzero(w > 0)
-    of = np.searchsorted(first, hits, "right") - 1
-    found = {}
-    for text in np.unique(of).tolist():
-        own = hits[of == text] if len(hits) < 64 else hits[np.searchsorted(of, text) : np.searchsorted(of, text, "right")]
-        base, n = first[text], first[text + 1] - first[text]
-        found[text] = [
-            (int(starts[base + i] - off[text]), int(ends[base + j - 1] - off[text]), s, float(model.k * n * np.exp(-model.scale * s)))
-            for i, j, s in segments(own - base, w[own])
-        ]
-    return np.diff(first), found
+def expected(model: Model, tokens: int, score: float) -> float:
+    """E of a segment: how many as good are expected in a random text of so many tokens."""
+    return float(model.k * tokens * np.exp(-model.scale * score))
+
+
+def features(e: list[float]) -> tuple[float, float]:
+    """Minus the logarithm of the least E, and the logarithm of one more than the passages."""
+    if not e:
+        return NO_SEGMENT, 0.0
+    return float(np.clip(-np.log(max(min(e), 1e-300)), NO_SEGMENT, MOST)), float(np.log1p(sum(x < SIGNIFICANT for x in e)))
+
 
+def _text_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, toxic, other): texts of the labelled sample that have each form; rows are (id, y, text)."""
+    for batch in batches:
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        for row, data, off in text_chunks(batch.column(2)):
+            whole, start, first = _forms(data, off)
+            of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+            pairs = np.unique(np.stack((np.concatenate((of, of)), np.concatenate((whole, start)))), axis=1)
+            mark = y[row + pairs[0]]
+            keys, at = np.unique(pairs[1], return_inverse=True)
+            counts = [np.bincount(at, weights=mark == v, minlength=len(keys)).astype(np.int64) for v in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["key", "toxic", "other"])
+    tidy()
 
-def _features(rows: list[tuple[int, int, float, float]]) -> tuple[float, float]:
-    """Minus the logarithm of the best E, held to [0, 40], and the logarithm of one more than the passages."""
-    if not rows:
-        return 0.0, 0.0
-    best = min(e for *_, e in rows)
-    return float(np.clip(-np.log(max(best, 1e-300)), 0, 40)), float(np.log1p(sum(e < SIGNIFICANT for *_, e in rows)))
 
+def _corpus(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(at, n): texts that have each of the broadcast keys, one row a key and task."""
 
-def _counting(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toxic = held.value
-        total = np.zeros((3, 2 << BITS), dtype=np.int64)
+        keys = held.value
+        total = np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
-            doc = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            null = np.asarray(batch.column(0).is_null())
-            at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-            label = np.where((ids[at] == doc) & ~null, toxic[at], -1)
-            for row, data, off in text_chunks(batch.column(1)):
-                _, _, first, forms = _tokens(data, off)
-                mark = np.repeat(label[row : row + len(off) - 1], np.diff(first))
-                for part in (x for h in forms for x in buckets(h)):
-                    total[0] += np.bincount(part, minlength=2 << BITS)
-                    if (mark == 1).any():
-                        total[1] += np.bincount(part[mark == 1], minlength=2 << BITS)
-                    if (mark == 0).any():
-                        total[2] += np.bincount(part[mark == 0], minlength=2 << BITS)
-        some = np.flatnonzero(total[0])
+            for _, data, off in text_chunks(batch.column(0)):
+                whole, start, first = _forms(data, off)
+                of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                pairs = []
+                for form in (whole, start):
+                    at = np.minimum(np.searchsorted(keys, form), len(keys) - 1)
+                    hit = keys[at] == form
+                    pairs.append(of[hit] * len(keys) + at[hit])
+                total += np.bincount(np.unique(np.concatenate(pairs)) % len(keys), minlength=len(keys))
+        some = np.flatnonzero(total)
         for i in range(0, len(some), 50_000):
             part = some[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(total[j][part]) for j in range(3)]], ["bucket", "n", "toxic", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "n"])
+        tidy()
 
     return run
 
@@ -173,50 +206,58 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Scores, extreme-value parameters and curve; labels are those the model may learn from."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    sample = smallest_hashes(sample.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), SAMPLE_ROWS).toPandas().sort_values("id")
-    ids, y = sample["id"].to_numpy(dtype=np.int64), sample["y"].to_numpy(dtype=np.int64)
-    if len(set(y.tolist())) < 2:
-        return Model(np.full(2 << BITS, NEUTRAL), known=False)
-    held = send(docs, (ids, y))
-    counts = own.mapInArrow(_counting(held), "bucket long, n long, toxic long, other long")
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
-    table = np.zeros((3, 2 << BITS))
-    table[:, counts["bucket"].to_numpy(dtype=np.int64)] = counts[["n", "toxic", "other"]].to_numpy(dtype=np.float64).T
-    half = 1 << BITS
-    weights = np.concatenate([log_odds(table[1, s], table[2, s], table[0, s]) for s in (slice(0, half), slice(half, None))])
-    model = Model(weights)
-    model.scale, model.k = extreme_value(weights[:half], table[2, :half])
-    # the curve, fitted on the same bounded sample
-    chosen = own.where(F.col("id").isin([int(i) for i in ids])) if len(ids) <= 1000 else own.join(F.broadcast(own.sparkSession.createDataFrame(sample[["id"]])), "id", "left_semi")
-    seen = chosen.select("id", _expected("text", chosen, model).alias("e")).limit(4 * SAMPLE_ROWS).toPandas().merge(sample, on="id")
-    expected = [np.array(e, dtype=np.float64) for e in seen["e"]]
-    labels_of = seen["y"].to_numpy(dtype=np.float64)
-    if len(set(labels_of.tolist())) < 2:
-        return Model(weights, known=False)  # the labels are of other texts
+    sample = smallest_hashes(sample.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), SAMPLE_ROWS).toPandas()
+    if sample["y"].nunique() < 2:
+        return Model(known=False)
+    # the sample is bounded, so a few thousand identifiers go to the rows; one row for each identifier
+    marked = own.join(F.broadcast(own.sparkSession.createDataFrame(sample, "id long, y int")), "id")
+    marked = marked.groupBy("id", "y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).select("id", "y", "text")
+    send(docs, None)
+    marked = cut(marked)
+    texts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(texts) < 2:
+        return Model(known=False)  # the labels are of other texts
+    forms = marked.mapInArrow(_text_forms, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    forms = forms.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).toArrow().sort_by("key")
+    keys, toxic, other = (forms.column(c).to_numpy() for c in ("key", "toxic", "other"))
+    model = Model(keys, np.full(len(keys), NEUTRAL))
+    if len(keys):
+        held = send(docs, keys)
+        counted = own.select("text").mapInArrow(_corpus(held), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        corpus = np.zeros(len(keys), dtype=np.int64)
+        corpus[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+        model.scores = log_odds(toxic, other, corpus, (texts[1], texts[0], own.count()))
+    found = marked.select("id", "y", _found("text", marked, model).alias("f")).select("id", "y", "f.*").toArrow().sort_by("id")
+    tokens, y = found.column("tokens").to_numpy(), found.column("y").to_numpy().astype(np.float64)
+    positive = [np.array(x, dtype=np.float64) for x in found.column("positive").to_pylist()]
+    best = [np.array(x, dtype=np.float64) for x in found.column("segments").to_pylist()]
+    benign = np.concatenate([np.zeros(0), *[p for p, label in zip(positive, y, strict=True) if label == 0]])
+    model.scale, model.k = extreme_value(int(tokens[y == 0].sum()), benign), 1.0
+    e = [[expected(model, n, s) for s in own] for n, own in zip(tokens, best, strict=True)]
     # K from the data: of texts that are not toxic, the share SIGNIFICANT may have a segment as good as that
-    best = np.array([e.min() if len(e) else np.inf for e in expected])[labels_of == 0]
-    if len(best):
-        shift = max(1.0, SIGNIFICANT / max(float(np.quantile(best, SIGNIFICANT)), 1e-300))
-        model.k *= shift
-        expected = [e * shift for e in expected]
-    x = np.array([_features([(0, 0, 0.0, float(v)) for v in e]) for e in expected])
-    order = np.lexsort((x[:, 1], x[:, 0], seen["id"].to_numpy()))
-    model.curve = _logistic(x[order], labels_of[order])
+    least = np.sort([min(x, default=np.inf) for x, label in zip(e, y, strict=True) if label == 0])
+    some = least[np.isfinite(least)]
+    if len(some):
+        model.k = SIGNIFICANT / max(1e-300, some[min(len(some) - 1, int(SIGNIFICANT * len(least)))])
+    model.curve = _logistic(np.array([features([x * model.k for x in own]) for own in e]), y)
     return model
 
 
-def _expected(text: str, df: DataFrame, model: Model) -> Column:
-    """The expected number of segments as good as each of a text's segments, of those under 10."""
+def _found(text: str, df: DataFrame, model: Model) -> Column:
+    """Struct of the number of tokens, the scores of the toxic ones, and those of the segments, of a text column."""
     held = send(df, model)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("tokens long, positive array<double>, segments array<double>")
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out: list[list[float]] = [[] for _ in range(len(batch))]
+            tokens, positive, own = np.zeros(len(batch), dtype=np.int64), [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
             for row, data, off in text_chunks(batch):
-                for at, rows in _scan(held.value, data, off)[1].items():
-                    out[row + at] = [e for *_, e in rows if e < 10]
-            yield pa.array(out, pa.list_(pa.float64()))
+                first, _, found = _scan(held.value, data, off)
+                tokens[row : row + len(off) - 1] = np.diff(first)
+                for at, (scores, rows) in found.items():
+                    positive[row + at], own[row + at] = scores.tolist(), [s for *_, s in rows]
+            kind = pa.list_(pa.float64())
+            yield pa.StructArray.from_arrays([pa.array(tokens), pa.array(positive, kind), pa.array(own, kind)], ["tokens", "positive", "segments"])
 
     return search(F.col(text))
 
@@ -241,16 +282,22 @@ def toxic_passages(text: str, df: DataFrame, model: Model) -> Column:
         model = held.value
         bias, slope, more = model.curve
         for batch in batches:
-            best, many, passages = np.zeros(len(batch)), np.zeros(len(batch)), [[] for _ in range(len(batch))]
+            best, many, passages = np.full(len(batch), NO_SEGMENT), np.zeros(len(batch)), [[] for _ in range(len(batch))]
             for row, data, off in text_chunks(batch):
-                for text, rows in _scan(model, data, off)[1].items():
-                    best[row + text], many[row + text] = _features(rows)
-                    good = [r for r in rows if r[3] < SIGNIFICANT]
+                first, _, found = _scan(model, data, off)
+                for text, (_, rows) in found.items():
+                    size = int(first[text + 1] - first[text])
+                    e = [expected(model, size, s) for *_, s in rows]
+                    best[row + text], many[row + text] = features(e)
+                    good = [(*r, v) for r, v in zip(rows, e, strict=True) if v < SIGNIFICANT]
                     if good:
-                        points = np.concatenate(([0], np.cumsum((data[off[text] : off[text + 1]] & 0xC0) != 0x80)))
-                        passages[row + text] = [{"start": int(points[a]), "end": int(points[b]), "score": s, "e_value": e} for a, b, s, e in good]
+                        own = data[off[text] : off[text + 1]]
+                        starts, ends, _ = words(own, np.array([0, len(own)]), NOT_ALNUM)
+                        points = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))
+                        passages[row + text] = [{"start": int(points[starts[i]]), "end": int(points[ends[j - 1]]), "score": s, "e_value": v} for i, j, s, v in good]
             score = 1 / (1 + np.exp(-(bias + slope * best + more * many))) if model.known else np.zeros(len(batch))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(best), pa.array(many), pa.array(passages, kind)], ["score", "best", "many", "passages"])
+        tidy()
 
     return search(F.col(text))

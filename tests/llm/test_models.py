@@ -1,7 +1,9 @@
 """Language ID, toxicity and language-model scoring."""
 
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -32,6 +34,7 @@ def test_language_edges(spark):
         und = not any(c.isalpha() for c in r["text"] or "")
         assert (r["q"]["lang_pred"] == "und") == und and 0 <= r["q"]["score"] <= 1 and (not und or r["q"]["score"] == 0)
     assert langid.train_language_model(empty(spark)) is None
+    assert empty(spark).withColumn("q", langid.predict_language("text", docs, model)).count() == 0
     none = docs.withColumn("q", langid.predict_language("text", docs, None)).select("q.*").distinct().collect()
     assert [(r["lang_pred"], r["score"]) for r in none] == [("und", 0.0)]
 
@@ -59,20 +62,81 @@ def maximal(scores):
 
 
 @given(st.lists(st.sampled_from([-1.0, -1.0, 2.0, 3.5, 0.75]), max_size=14))
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 def test_segments_are_all_maximal_ones(scores):
     at = np.array([i for i, s in enumerate(scores) if s > 0], dtype=np.int64)
     got = toxicity.segments(at, np.array([scores[i] for i in at]), -1.0)
     want = maximal(scores)
-    assert abs(sum(s for *_, s in got) - sum(s for *_, s in want)) < 1e-9
-    assert max((s for *_, s in got), default=0) == max((s for *_, s in want), default=0)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
 
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     out = Q.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     r = out.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))).first()
-    assert r[0] > 0.7 and r[1] < 0.03
+    assert r[0] >= 0.92 and r[1] <= 0.002
+
+
+def plain_forms(text):
+    """(whole word, beginning) of each token, by plain regexes."""
+    tokens = [m[0].lower() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    return [((b"word", t), (b"start", t[: toxicity.BEGINNING]) if len(t) > toxicity.BEGINNING else (b"word", t)) for t in tokens]
+
+
+def brute_toxicity(docs, labels):
+    """Scores by the definition in the module's text: docs id -> text, labels id -> 0 or 1; no sampling."""
+    n = {v: sum(1 for d in labels if labels[d] == v) for v in (0, 1)}
+    have, corpus = {0: Counter(), 1: Counter()}, Counter()
+    for d, text in docs.items():
+        forms = {f for pair in plain_forms(text) for f in pair}
+        corpus.update(forms)
+        if d in labels:
+            have[labels[d]].update(forms)
+    score = {}
+    for f in {*have[0], *have[1]}:
+        if have[0][f] + have[1][f] >= toxicity.LEAST_TEXTS:
+            prior = toxicity.PRIOR * corpus[f] / len(docs)
+            t, o = have[1][f] + prior, have[0][f] + prior
+            value = math.log(t / (n[1] + toxicity.PRIOR - t)) - math.log(o / (n[0] + toxicity.PRIOR - o)) - toxicity.CAUTION * math.sqrt(1 / t + 1 / o)
+            score[f] = value if value >= toxicity.LEAST_LOG_ODDS else toxicity.NEUTRAL
+    rated = {d: [next((score[f] for f in pair if f in score), toxicity.NEUTRAL) for pair in plain_forms(text)] for d, text in docs.items()}
+    benign = [s for d in labels if labels[d] == 0 for s in rated[d]]
+    low, high = 1e-6, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(math.exp(min(700, mid * s)) for s in benign) < len(benign) else (low, mid)
+    e = {d: [len(s) * math.exp(-low * x) for *_, x in maximal(s)] for d, s in rated.items()}
+    least = sorted(min(e[d], default=math.inf) for d in labels if labels[d] == 0)
+    some = [x for x in least if x < math.inf]
+    k = toxicity.SIGNIFICANT / some[min(len(some) - 1, int(toxicity.SIGNIFICANT * len(least)))] if some else 1.0
+    x = {d: (min(40.0, max(-5.0, -math.log(max(k * min(v), 1e-300)))) if v else -5.0, math.log1p(sum(k * y < toxicity.SIGNIFICANT for y in v))) for d, v in e.items()}
+    w = toxicity._logistic(np.array([x[d] for d in sorted(labels)]), np.array([float(labels[d]) for d in sorted(labels)]))
+    return {d: 1 / (1 + math.exp(-(w[0] + w[1] * a + w[2] * b))) for d, (a, b) in x.items()}
+
+
+def test_toxicity_equals_brute_force(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 3)
+    rng = random.Random(6)
+    docs, labels = {}, {}
+    for i in range(160):
+        words = [rng.choice(["alpha", "beta", "gammas", "Gammarus", "été", "x1"]) for _ in range(rng.randrange(1, 25))]
+        if i % 4 == 0:
+            words[len(words) // 2 :] = [rng.choice(["vile", "VILE", "wretched", "wretches", "wretchedly"]) for _ in range(3)]
+        elif i % 9 == 0:
+            words.append("vile")
+        docs[i] = " ".join(words)
+        if i % 3:
+            labels[i] = int(i % 4 == 0)
+    docs |= {200: None, 201: "", 202: "... !"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 0, y) for d, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in Q.op2_toxicity(spark, str(tmp_path)).collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in docs}
+    want = brute_toxicity(docs, {d: y for d, y in labels.items() if not held[d]})
+    assert got.keys() == docs.keys() and len({round(v, 6) for v in want.values()}) > 5
+    for d in docs:
+        assert abs(got[d]["score"] - want[d]) < 1e-6 and got[d]["held_out"] == held[d] and got[d]["predicted"] == int(want[d] >= 0.5)
 
 
 def test_toxicity_edges_and_passages(spark):
@@ -83,12 +147,11 @@ def test_toxicity_edges_and_passages(spark):
     none = toxicity.train_toxicity(docs, labels.where("doc_id is null"))
     assert {r["q"]["score"] for r in docs.withColumn("q", toxicity.toxic_passages("text", docs, none)).collect()} == {0.0}
     assert toxicity.train_toxicity(empty(spark), labels.limit(0)).known is False
-    weights = np.full(2 << toxicity.BITS, toxicity.NEUTRAL)
-    data = np.frombuffer("été vile words of no use, vile".encode(), dtype=np.uint8)
-    _, _, _, forms = toxicity._tokens(data, np.array([0, len(data)]))
-    for b in toxicity.buckets(forms[0][[1]]):
-        weights[b] = 5.0
-    model = toxicity.Model(weights, 2.0, 0.01, (-3.0, 0.5, 0.5))
+    assert empty(spark).withColumn("q", toxicity.toxic_passages("text", docs, none)).count() == 0
+    data = np.frombuffer("vile".encode(), dtype=np.uint8)
+    whole, start, _ = toxicity._forms(data, np.array([0, len(data)]))
+    assert whole.tolist() == start.tolist()
+    model = toxicity.Model(whole, np.array([5.0]), 2.0, 0.01, (-3.0, 0.5, 0.5))
     one = spark.createDataFrame([("été vile words of no use, vile",)], "text string")
     got = one.withColumn("q", toxicity.toxic_passages("text", one, model)).first()["q"]
     assert [(p["start"], p["end"]) for p in got["passages"]] == [(4, 30)] and got["score"] > 0.5

@@ -56,6 +56,42 @@ def test_chains_and_large_groups_equal_brute_force(spark):
     assert run(df, 4) == brute(rows, 4)
 
 
+def test_long_words_that_differ_are_unlike(spark):
+    """Two words of 1,024 bytes whose running polynomial sums are equal modulo 2**64, whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, f"x y z {a} x y z {b}"), (6, f"x y z {a} x y z {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1, 4):
+        assert run(df, k) == brute(rows, k)
+    assert {r["id"]: r["n_shingles"] for r in N.near_groups(df, k=1).collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 5, 6: 4}
+
+
+def test_long_texts_are_split_in_pieces():
+    from loomgrid.llm.common import NOT_ALNUM, SPACE, _runs, word_digests
+    from loomgrid.llm.common import words as places
+
+    text = ("Ab,c \t12 " * 300 + "x" * 700 + " y " + "z" * 400).encode()
+    data, off = np.frombuffer(text + b"one\x0btwo", dtype=np.uint8), np.array([0, len(text), len(text), len(text) + 7])
+    for gaps in (SPACE, NOT_ALNUM):
+        h, first = word_digests(data, off, gaps)
+        starts, ends, want = places(data, off, gaps)
+        assert first.tolist() == want.tolist() and len(h) == len(starts)
+        split = [w for i, own in _runs(data, off, gaps, 64) for w in own]
+        assert split == [data[a:b].tobytes().lower() for a, b in zip(starts, ends)]
+
+
+def test_hot_keys_are_attached_without_a_shuffle(spark, monkeypatch):
+    from loomgrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(100)], "k long, v long")
+    values = common.cut(rows.groupBy("k").count().withColumnRenamed("count", "n"))
+    out = common.attach(rows, values, ["k"], "n")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(values, "k").collect()))
+    assert common.attach(rows.limit(0), values.limit(0), ["k"], "n").count() == 0
+
+
 def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "SLICE", 16)
     monkeypatch.setattr(N, "BLOCK", 8)
