@@ -3,13 +3,18 @@
 Every document becomes one small event (digest, id, row number, content locator). A streaming
 aggregation without watermark keeps, per digest, the smallest identifier, its locator and the number
 of rows; the state lives in RocksDB on the executors' disks and never expires. Spark combines events
-of a digest before the shuffle, so a text that a third of all rows share costs one row per task.
-A hit on a digest is then confirmed on the full bytes of both texts; texts that share a digest but
-differ are grouped by their bytes.
+of a digest before the shuffle, so a text that a third of all rows share costs one row per task; the
+state comes back to the events without a shuffle of such digests.
+
+A hit on a digest is confirmed on full bytes: the rows that a digest with hits names by identifier are
+read again, and the distinct texts under each digest, combined in each task before the shuffle, must be
+one. Texts that share a digest but differ are grouped by their bytes. The locator (file of the row that
+stays) tells a caller where the bytes of that row lie.
 
 Defined cases: a null text counts as the empty text. A null identifier sorts after all others.
 Rows repeated under one identifier are rows of one group, of which exactly one stays. An empty table
-gives an empty result. Extra columns are kept and never clash, as the joins run on own columns.
+gives an empty result. Extra columns are kept and never clash, as all work is on own columns, and helper
+columns get names that the table does not have.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming.state import keyed_state
-from .common import bloom, cut, in_bloom, scratch
+from .common import attach, bloom, cut, free_names, in_bloom, scratch
+
 
 def normalised(text) -> F.Column:
     """Null reads as empty; each run of ASCII white space becomes one space."""
@@ -43,39 +49,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         state = keyed_state(
             spark, f"{at}/events", events.schema, at, "digest", [F.min("row").alias("first"), F.count(F.lit(1)).alias("n")], [F.min("first").alias("first"), F.max("n").alias("n")]
         )
-        placed = cut(events.join(state, "digest"))
+        placed = cut(attach(events, cut(state), ["digest"], "n"))
 
-    # full bytes of both texts on every hit: only rows of digests seen more than once go through the join
-    hits = placed.where("n > 1").select("digest", "first", "n").distinct()
-    key = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
-    table = bloom(placed.where("n > 1").select(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("k")).distinct(), "k")
-    texts = in_bloom(own.select(F.col("id"), normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("k", key), table, "k")
-    texts = texts.select("id", "norm", "sha", F.substring("sha", 1, digest_hex).alias("digest"))
-    # joined by digest and identifier, so the many rows of one digest do not meet in one task
-    kept = hits.select(F.col("digest").alias("__digest"), F.col("first.id").alias("__id"))
-    first = texts.join(kept, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id"))).groupBy("digest").agg(F.min("norm").alias("kept"))
-    unlike = texts.join(first, "digest").where("norm != kept").select("digest").distinct()
+    # full bytes on every hit: the rows of digests seen more than once, found by identifier, are read again
+    key = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("key")
+    table = bloom(placed.where("n > 1").select(key("row.id")).distinct(), "key")
+    again = in_bloom(own.select(key("id"), "text"), table, "key").select(normalised(F.col("text")).alias("norm"))
+    texts = again.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("digest", F.substring("sha", 1, digest_hex)).distinct()
+    unlike = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     if unlike.isEmpty():
         return placed.select("row", F.col("first").alias("keep"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"))
 
     # distinct texts under one digest: their bytes are the key. The row number ties them to the events.
     unlike = cut(unlike)
-    shas = texts.join(unlike, "digest", "left_semi").select("norm", "sha").distinct()
+    shas = texts.join(unlike, "digest", "left_semi").select("norm", "sha")
     if shas.groupBy("sha").count().where("count > 1").isEmpty():
-        by = placed.join(unlike, "digest", "left_semi").groupBy("sha").agg(F.min("row").alias("keep2"), F.count(F.lit(1)).alias("n2"))
-        fixed = placed.join(by, "sha", "left")
-        return fixed.select("row", F.coalesce("keep2", "first").alias("keep"), F.coalesce("n2", "n").alias("group_size"), F.col("sha").alias("text_sha256"))
+        by = placed.groupBy("sha").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        return attach(placed.select("row", "sha"), cut(by), ["sha"], "group_size").select("row", "keep", "group_size", F.col("sha").alias("text_sha256"))
     raise ArithmeticError("two texts with equal SHA-256: use another digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
-    groups = exact_groups(docs, id_col, text_col).select(F.col("row.id").alias("__id"), F.col("text_sha256").alias("__sha"), (F.col("row.number") != F.col("keep.number")).alias("gone"))
-    unclear = not groups.groupBy("__id").count().where("__id is null or count > 1").isEmpty()
+    own, text = free_names(docs, "own", "text")
+    groups = exact_groups(docs, id_col, text_col).select(F.col("row.id").alias(f"{own}2"), F.col("text_sha256").alias(f"{text}2"), (F.col("row.number") != F.col("keep.number")).alias("gone"))
+    unclear = not groups.groupBy(f"{own}2").count().where(F.col(f"{own}2").isNull() | (F.col("count") > 1)).isEmpty()
     if not unclear:
-        return docs.join(groups.where("gone").select("__id"), docs[id_col] == F.col("__id"), "left_anti")
+        return docs.join(groups.where("gone").select(f"{own}2"), docs[id_col] == F.col(f"{own}2"), "left_anti")
     # identifiers that are missing or repeated: the text decides as well, and equal rows are cut to one
-    same = [F.col("__own").eqNullSafe(F.col("__id")), F.col("__text") == F.col("__sha")]
-    keep = groups.where("not gone").select("__id", "__sha").distinct()
-    marked = docs.withColumn("__own", docs[id_col]).withColumn("__text", F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["__own", "__text"]).drop("__own", "__text")
+    same = [F.col(own).eqNullSafe(F.col(f"{own}2")), F.col(text) == F.col(f"{text}2")]
+    keep = groups.where("not gone").select(f"{own}2", f"{text}2").distinct()
+    marked = docs.withColumn(own, docs[id_col]).withColumn(text, F.sha2(normalised(docs[text_col]).cast("binary"), 256))
+    return marked.join(keep, same, "left_semi").dropDuplicates([own, text]).drop(own, text)
