@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_both
@@ -23,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Whether a document is kept from learning; one without an identifier is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -84,8 +89,8 @@ FROM o
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = train_language_model(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = _held_out(4, 2)
+    model = train_language_model(docs.where(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), predict_language("text", docs, model).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
@@ -125,7 +130,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
@@ -134,8 +139,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    model = train_toxicity(docs, labels.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = _held_out(5, 0)
+    model = train_toxicity(docs, labels.where(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), toxic_passages("text", docs, model).alias("p"))
     return out.select("doc_id", "held_out", "p.score", (F.col("p.score") >= 0.5).cast("int").alias("predicted"), F.size("p.passages").alias("n_passages"))
 

@@ -5,11 +5,11 @@ block by block of dimensions; after each block a candidate survives only if its
 largest product that the remaining mass allows (the norms of what is left of both vectors) can still
 reach the query's k-th best score so far, and the survivors are compacted before the next block.
 
-Queries are sent in blocks of bounded size; every block meets all candidates where they lie, so
-candidates are never shuffled. A task returns k rows a query, and a ranked window merges them.
+Queries are sent in blocks of bounded bytes; every block meets all candidates where they lie, so
+candidates are never shuffled. A task returns k rows a query, and a ranked window merges them block by block.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without an
-identifier take no part; shorter vectors count as padded with zeros; of rows repeated under one
+identifier take no part; shorter vectors count as padded with zeros, so an empty one scores 0; of rows repeated under one
 identifier the smallest vector is the query and all are candidates; ties go to the smaller identifier;
 an empty table gives an empty result. Other columns play no part.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, send
 
-#: Queries sent to the executors at once, on average; dimensions of one block; candidates of one chunk.
-QUERY_BLOCK, DIMS, CHUNK = 1024, 8, 8192
+#: Bytes of queries sent to the executors at once, on average; dimensions of one block; candidates of one chunk.
+QUERY_BYTES, DIMS, CHUNK = 16 << 20, 8, 8192
 EXACT = float(1 << 53)
 
 
@@ -121,22 +121,22 @@ class Search:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, id, score of the k best of vectors (id, vector) for each of queries (id, vector), itself excluded."""
     spark = vectors.sparkSession
-    usable = "id is not null and vector is not null and size(vector) > 0"
+    usable = "id is not null and vector is not null"
     vectors, queries = vectors.where(usable), queries.where(usable)
     queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))
     queries = cut(queries)
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["dims"] or 0) * 8 // QUERY_BYTES))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     parts = []
-    for block in range(blocks if count else 0):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
-        if not part:
+    for block in range(blocks if size["n"] else 0):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().sort_by("id")
+        if not part.num_rows:
             continue
-        dims = max(len(r["vector"]) for r in part)
-        q = np.zeros((len(part), dims), dtype=np.int64)
-        for i, r in enumerate(part):
-            q[i, : len(r["vector"])] = r["vector"]
-        held = send(vectors, (np.array([r["id"] for r in part], dtype=np.int64), q, k))
+        lists = part.column("vector").combine_chunks()
+        dims = max(1, int(lists.value_lengths().to_numpy(zero_copy_only=False).max()))
+        ids, q = part.column("id").to_numpy(), np.ascontiguousarray(_matrix(lists, dims).T)
+        held = send(vectors, (ids, q, k))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q, k = held.value
@@ -157,11 +157,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
             yield search.result()
 
         found = vectors.select("id", "vector").mapInArrow(scan, "query_id long, id long, score long")
-        parts.append(cut(found) if blocks > 1 else found)
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        parts.append(cut(best) if blocks > 1 else best)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    found = parts[0]
+    out = parts[0]
     for more in parts[1:]:
-        found = found.unionByName(more)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        out = out.unionByName(more)
+    return out

@@ -9,7 +9,7 @@ SCHEMA = "id long, v array<double>, vector string, score long, rank int"
 def brute(rows, k, every):
     ints = {}
     for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             ints.setdefault(i, []).append([int(np.floor(256 * x)) for x in v])
     out = []
     for q in sorted(i for i in ints if i % every == 0):
@@ -41,7 +41,7 @@ def test_few_candidates_blocks_and_large_components(spark, monkeypatch):
     assert [r[:3] for r in run(spark, big)] == [r[:3] for r in brute(big, 5, 5)]
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 1, 20).tolist()) for i in range(120)]
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 7 * 20 * 8)
     monkeypatch.setattr(topk, "CHUNK", 16)
     assert run(spark, rows, 3, 2) == brute(rows, 3, 2)
 
