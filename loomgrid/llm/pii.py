@@ -36,7 +36,7 @@ from .common import send, tidy
 #: In the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window to the next; windows read at once.
-LENGTH, STRIDE, AT_ONCE = 128, 96, 1024
+LENGTH, STRIDE, AT_ONCE = 256, 224, 512
 #: Distinct texts, windows of each, and windows in all that the tagger is trained on, at most, and their length.
 SAMPLE_TEXTS, PER_TEXT, SAMPLE_WINDOWS, TRAIN_LENGTH = 1500, 3, 3600, 96
 SYMBOLS, EMBED, HIDDEN, TAGS = 130, 12, 16, 1 + 2 * len(KINDS)
@@ -247,35 +247,53 @@ class Tagger:
         self.allowed = np.array([[j == 0 or j % 2 == 1 or i in (j, j - 1) for j in range(TAGS)] for i in range(TAGS)])
         self.start = np.array([float(j == 0 or j % 2 == 1) for j in range(TAGS)])
 
-    def states(self, w: np.ndarray, kind: type = np.float64, keep: list | None = None) -> np.ndarray:
-        """Hidden states (place, window, both directions) of windows; keep: takes what the gradient needs."""
+    def states(self, w: np.ndarray, keep: list) -> np.ndarray:
+        """Hidden states (place, window, both directions) of windows; keep takes what the gradient needs."""
         n, steps = w.shape
         half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)
-        table = ((self.p["e"] @ self.p["x"] + self.p["b"][:, None, :]) * half).astype(kind)
-        weight = (self.p["h"] * half).astype(kind)
-        rows = np.ascontiguousarray(w.T)
-        h, c = np.zeros((2, n, HIDDEN), kind), np.zeros((2, n, HIDDEN), kind)
-        out, z = np.empty((steps, n, 2 * HIDDEN), kind), np.empty((2, n, 4 * HIDDEN), kind)
+        table = (self.p["e"] @ self.p["x"] + self.p["b"][:, None, :]) * half
+        h, c, out = np.zeros((2, n, HIDDEN)), np.zeros((2, n, HIDDEN)), np.empty((steps, n, 2 * HIDDEN))
         for s in range(steps):
-            np.matmul(h, weight, out=z)
-            z[0] += table[0].take(rows[s], axis=0)
-            z[1] += table[1].take(rows[steps - 1 - s], axis=0)
-            np.tanh(z, out=z)
-            gate = z[:, :, : 3 * HIDDEN] * kind(0.5) + kind(0.5)
+            z = np.tanh(h @ (self.p["h"] * half) + np.stack((table[0][w[:, s]], table[1][w[:, steps - 1 - s]])))
+            gate = z[:, :, : 3 * HIDDEN] * 0.5 + 0.5
             i, f, o, g = gate[:, :, :HIDDEN], gate[:, :, HIDDEN : 2 * HIDDEN], gate[:, :, 2 * HIDDEN :], z[:, :, 3 * HIDDEN :]
             old_c, old_h = c, h
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
             out[s, :, :HIDDEN], out[steps - 1 - s, :, HIDDEN:] = h[0], h[1]
-            if keep is not None:
-                keep.append((i, f, o, g.copy(), old_c, old_h, tc))
+            keep.append((i, f, o, g, old_c, old_h, tc))
         return out
 
-    def emissions(self, w: np.ndarray, kind: type = np.float64) -> np.ndarray:
-        """Scores (window, place, tag)."""
-        out = self.states(w, kind) @ self.p["o"].astype(kind) + self.p["c"].astype(kind)
-        return out.transpose(1, 0, 2)
+    def emissions(self, w: np.ndarray, kind: type = np.float32) -> np.ndarray:
+        """Scores (window, place, tag), a view of an array that has windows along its rows.
+
+        The same network as states(), laid out for reading: states and symbols stand above each other, so that
+        one product gives all gates, and each operation runs along the windows."""
+        n, steps = w.shape
+        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)
+        weight = np.concatenate((self.p["h"], self.p["x"], self.p["b"][:, None, :]), axis=1) * half
+        weight = np.ascontiguousarray(weight.transpose(0, 2, 1)).astype(kind)
+        shown = self.p["e"].T.astype(kind)[:, w.T.ravel()].reshape(EMBED, steps, n)
+        below = np.ones((2, HIDDEN + EMBED + 1, n), kind)
+        h, put = below[:, :HIDDEN], below[:, HIDDEN : HIDDEN + EMBED]
+        h[:] = 0
+        c, tc, z, out = np.zeros((2, HIDDEN, n), kind), np.empty((2, HIDDEN, n), kind), np.empty((2, 4 * HIDDEN, n), kind), np.empty((steps, 2 * HIDDEN, n), kind)
+        gate, i, f, o, g = z[:, : 3 * HIDDEN], z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :]
+        for s in range(steps):
+            put[0], put[1] = shown[:, s], shown[:, steps - 1 - s]
+            np.matmul(weight, below, out=z)
+            np.tanh(z, out=z)
+            gate *= kind(0.5)
+            gate += kind(0.5)
+            np.multiply(c, f, out=c)
+            np.multiply(i, g, out=tc)
+            c += tc
+            np.tanh(c, out=tc)
+            np.multiply(o, tc, out=h)
+            out[s, :HIDDEN], out[steps - 1 - s, HIDDEN:] = h[0], h[1]
+        em = self.p["o"].T.astype(kind) @ out + self.p["c"].astype(kind)[:, None]
+        return em.transpose(2, 0, 1)
 
     def marginals(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posterior of each tag at each place, expected transitions summed over places, and the log of the sum over all paths."""
@@ -315,22 +333,24 @@ class Tagger:
 
         Where it has more, no other path can be better, so nothing is left to decode."""
         n, steps = em.shape[:2]
-        step = np.where(self.allowed, np.exp(self.p["t"]), 0.0).astype(em.dtype)
-        e = np.exp(em - em[:, :, :1])  # of each place over no span
-        a, total = self.start.astype(em.dtype) * e[:, 0], np.zeros(n)
-        for s in range(steps):
-            if s:
-                a = (a @ step) * e[:, s]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            total += np.log(scale)
+        step = np.ascontiguousarray(np.where(self.allowed, np.exp(self.p["t"]), 0.0).T)
+        e = np.ascontiguousarray(em.transpose(1, 2, 0))
+        e = np.exp(np.minimum(e - e[:, :1], 80))  # of each place over no span
+        a, total = self.start[:, None] * e[0], np.zeros(n)
+        for s in range(1, steps):
+            a = (step @ a) * e[s]
+            if s % 4 == 0:
+                scale = a.sum(axis=0)
+                a /= scale
+                total += np.log(scale)
+        total += np.log(a.sum(axis=0))
         return total - (steps - 1) * self.p["t"][0, 0] >= np.log(2) - 1e-3
 
     def gradient(self, w: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood of tag sequences, and its gradient."""
         n, steps = w.shape
         keep: list[tuple] = []
-        h = self.states(w, keep=keep)
+        h = self.states(w, keep)
         em = (h @ self.p["o"] + self.p["c"]).transpose(1, 0, 2)
         grad, pairs, total = self.marginals(em)
         gold = np.take_along_axis(em, y[:, :, None], 2).sum() + self.p["t"][y[:, :-1], y[:, 1:]].sum()
@@ -386,7 +406,7 @@ class Tagger:
         length = w.shape[1]
         rows = max(1, AT_ONCE * LENGTH // length)
         for i in range(0, len(w), rows):
-            em = self.emissions(w[i : i + rows], np.float32)
+            em = self.emissions(w[i : i + rows])
             chosen = np.flatnonzero(self.loud(em))
             if not len(chosen):
                 continue

@@ -79,6 +79,13 @@ def test_gradient():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
 
 
+def test_both_layouts_are_one_network():
+    rng, tagger = random_tagger(3)
+    w = rng.integers(0, 130, (7, 33)).astype(np.uint8)
+    want = (tagger.states(w, []) @ tagger.p["o"] + tagger.p["c"]).transpose(1, 0, 2)
+    assert np.allclose(tagger.emissions(w, np.float64), want, atol=1e-12) and np.allclose(tagger.emissions(w), want, atol=1e-4)
+
+
 def test_decoding_equals_all_paths():
     """Posteriors, the best path and the sum over paths of short windows, against every allowed tag sequence."""
     rng, tagger = random_tagger(1)
@@ -101,7 +108,7 @@ def test_decoding_equals_all_paths():
 def test_quiet_windows_have_no_span():
     rng, tagger = random_tagger(2)
     tagger.p["c"][0] += 5
-    em = tagger.emissions(rng.integers(0, 130, (300, 16)).astype(np.uint8), np.float32)
+    em = tagger.emissions(rng.integers(0, 130, (300, 16)).astype(np.uint8))
     quiet = ~tagger.loud(em)
     assert quiet.any() and not quiet.all()
     assert not tagger.viterbi(em[quiet].astype(np.float64)).any()
