@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -173,58 +173,71 @@ def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(starts, off)
 
 
-class _Digests(dict):
-    """128-bit BLAKE2 digests of words, those of short words remembered."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        digest = hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) <= 64:
-            self[word] = digest
-        return digest
-
-
-#: Digests that a Python worker remembers, and words that are split off at once.
-REMEMBERED_WORDS, WORDS_AT_ONCE = 150_000, 1 << 17
-_DIGESTS = _Digests()
-_TABLES: dict[bytes, bytes] = {}
-
-
-def _runs(data: np.ndarray, off: np.ndarray, gaps: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(text, words) of the texts of a chunk, A-Z read as a-z; a long text comes in pieces that end at a gap."""
-    table = _TABLES.setdefault(gaps.tobytes(), bytes(32 if gap else i + 32 if 65 <= i <= 90 else i for i, gap in enumerate(gaps.tolist())))
-    raw, bounds = data.tobytes().translate(table), off.tolist()
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        while b - a > piece:
-            end = raw.rfind(b" ", a, a + piece)
-            if end <= a:
-                end = raw.find(b" ", a + piece, b)
-            if end < 0:
-                break
-            yield i, raw[a:end].split()
-            a = end
-        yield i, raw[a:b].split()
-
-
-def word_digests(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """The digest of each word as two 64-bit numbers, and the number of words before each text (one more at the end).
-
-    The words are those of words(), without case in A-Z. The digest is cryptographic, so no choice of texts
-    makes words collide, and its halves are independent: what one half finds the other can confirm."""
-    count, out, held = np.zeros(max(0, len(off) - 1), dtype=np.int64), [np.zeros((0, 2), dtype=U)], []
-
-    def flush() -> None:
-        out.append(np.frombuffer(b"".join(map(_DIGESTS.__getitem__, held)), dtype=U).reshape(-1, 2))
-        held.clear()
-        if len(_DIGESTS) > REMEMBERED_WORDS:
-            _DIGESTS.clear()
-
-    for i, own in _runs(data, off, gaps):
-        count[i] += len(own)
-        held += own
-        if len(held) >= WORDS_AT_ONCE:
-            flush()
-    flush()
-    return np.concatenate(out), np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(count)))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Longer words are hashed by BLAKE2.
+LONG_WORD = 512
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """Independent 64-bit hashes of byte ranges, one or two of each.
+
+    Eight bytes at a time go through a mixing function of the whole state, under two keys; so no sum or
+    product that holds for one range holds for another, and ranges of up to eight bytes never collide."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+    def step(half: int, state: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return mix(state ^ x) if half == 0 else mix((x << U(32) | x >> U(32)) + state * U(0xD6E8FEB86659FD93))
+
+    x = eight[starts] & _MASKS[np.minimum(size, 8)]
+    out = [step(half, size.astype(U) * U(0x9E3779B97F4A7C15) + U(0xA0761D6478BD642F + half), x) for half in range(halves)]
+    live, at = np.flatnonzero(size > 8), 8
+    while len(live) and at < LONG_WORD:
+        x = eight[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        for half in range(halves):
+            out[half][live] = step(half, out[half][live], x)
+        at += 8
+        live = live[size[live] > at]
+    for i in live.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        for half in range(halves):
+            out[half][i] = int.from_bytes(digest[8 * half : 8 * half + 8], "little")
+    return out
+
+
+def word_digests(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE, halves: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes of each word, without case in A-Z, and the number of words before each text (one more at the end).
+
+    What one hash finds the other, which is independent of it, can confirm."""
+    starts, ends, first = words(data, off, gaps)
+    return byte_hashes(LOWER[data], starts, ends, halves), first
+
+
+class Places:
+    """Where 64-bit keys stand in a sorted array of them: a table of their leading bits, then a short walk."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.concatenate((keys.astype(U), np.zeros(1, dtype=U)))
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift = U(64 - bits)
+        edges = np.arange(1 << bits, dtype=U) << self.shift
+        self.head = np.append(np.searchsorted(keys.astype(U), edges), len(keys)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not among them."""
+        lead = (key >> self.shift).astype(np.int64)
+        at, end = self.head[lead], self.head[lead + 1]
+        out = np.where((self.keys[at] == key) & (at < end), at, -1)
+        live = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(live):
+            at[live] += 1
+            hit = self.keys[at[live]] == key[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit & (at[live] + 1 < end[live])]
+        return out
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

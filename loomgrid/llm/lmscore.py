@@ -73,8 +73,8 @@ def _counting(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callab
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word, first = word_digests(data, off, NOT_ALNUM)
-    return np.ascontiguousarray(word[:, 0]).view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
+    (word,), first = word_digests(data, off, NOT_ALNUM, 1)
+    return word.view(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(first))
 
 
 def _grams(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

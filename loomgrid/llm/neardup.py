@@ -5,8 +5,8 @@ of the M slots (a Fisher-Yates shuffle carried from round to round), and slot p
 j + r. Values of round j are all under j + 1, so a text is finished after the first round that leaves
 no slot empty. Rounds run for all texts of a chunk at once.
 
-Words are known by 128-bit BLAKE2 digests. Signatures come from one half of them; sizes, classes and
-links are settled on the other half as well, so unlike words never pass for equal ones.
+Words are known by two independent 64-bit hashes. Signatures come from one of them; sizes, classes and
+links are settled on the other as well, so unlike words do not pass for equal ones.
 
 Texts with the same set are one class from the start. Band keys of the classes are grouped; each
 bucket first compares its members with the smallest of them, as a star. Buckets whose members then are
@@ -94,8 +94,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def shingle_sets(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, of one half of the word digests, and their number before each text."""
-    h, before = shingle_hashes(np.ascontiguousarray(word), first, k)
+    """Sorted distinct shingle hashes of each text, of one of the two word hashes, and their number before each text."""
+    h, before = shingle_hashes(word, first, k)
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         h[a:b].sort()
     keep = np.ones(len(h), dtype=bool)
@@ -116,8 +116,8 @@ def _profiles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for row, data, off in text_chunks(batch.column(1)):
                 word, first = word_digests(data, off)
-                h, before = shingle_sets(word[:, 0], first, k)
-                other, other_before = shingle_sets(word[:, 1], first, k)
+                h, before = shingle_sets(word[0], first, k)
+                other, other_before = shingle_sets(word[1], first, k)
                 n = np.maximum(np.diff(before), np.diff(other_before))
                 d1, d2 = _total(h, before), _total(other, other_before)
                 keys = band_keys(signatures(h, before))
@@ -139,7 +139,7 @@ def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             batch = batch.filter(pa.array(probe(table, [batch.column(i) for i in (2, 3, 4)])))
             for row, data, off in text_chunks(batch.column(1)):
                 word, first = word_digests(data, off)
-                h, before = shingle_sets(word[:, 1], first, k)
+                h, before = shingle_sets(word[1], first, k)
                 raw = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer((before * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(before) - 1), raw.cast(pa.binary())], ["id", "set"])
         tidy()

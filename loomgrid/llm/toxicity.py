@@ -11,8 +11,7 @@ in n tokens has E = K n exp(-lambda S), K calibrated on texts that are not toxic
 the passages, and a logistic curve fitted on labelled texts turns the best segment and the number of
 passages into a probability.
 
-Tokens are runs of letters and digits without case in A-Z. Forms are keyed by halves of 128-bit
-digests; only those of the bounded labelled sample are kept, so no table grows with the corpus, and
+Tokens are runs of letters and digits without case in A-Z. Forms are keyed by 64-bit hashes; only those of the bounded labelled sample are kept, so no table grows with the corpus, and
 their corpus frequencies are counted over all texts.
 
 Defined cases: null and empty texts have no passage and get the score of texts without one; rows
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U, cut, mix, send, smallest_hashes, text_chunks, tidy, word_digests, words
+from .common import LOWER, NOT_ALNUM, Places, U, byte_hashes, cut, mix, send, smallest_hashes, text_chunks, tidy, words
 
 #: Labelled rows the scores are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -51,12 +50,13 @@ NO_SEGMENT, MOST = -5.0, 40.0
 class Model:
     """Sorted keys of the forms with evidence, their scores, extreme-value parameters, and the logistic curve."""
 
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=U))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
     k: float = 0.1
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     known: bool = True
+    places: Places | None = None
 
 
 def segments(at: np.ndarray, score: np.ndarray, neutral: float = NEUTRAL) -> list[tuple[int, int, float]]:
@@ -106,43 +106,36 @@ def extreme_value(tokens: int, positive: np.ndarray) -> float:
     return low
 
 
-def _forms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the whole word and of the beginning of each token, and the number of tokens before each text."""
-    digest, first = word_digests(data, off, NOT_ALNUM)
-    starts, ends, _ = words(data, off, NOT_ALNUM)
-    whole = np.ascontiguousarray(digest[:, 0]).view(np.int64)
-    # a beginning is its bytes themselves, so equal beginnings alone have equal keys; A-Z read as a-z
-    padded = np.concatenate((data, np.zeros(BEGINNING, dtype=np.uint8)))
-    padded = np.where((padded >= 65) & (padded <= 90), padded + 32, padded).astype(U)
-    start = np.zeros(len(starts), dtype=U)
-    for j in range(BEGINNING):
-        start = start << U(8) | padded[starts + j]
-    start = mix(start).view(np.int64)
-    # a word of no more than that many bytes is its own beginning
-    return whole, np.where(ends - starts > BEGINNING, start, whole), first
+def forms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the whole word and of the beginning of each token, and the number of tokens before each text.
 
+    A word of no more than BEGINNING bytes is its own beginning."""
+    starts, ends, first = words(data, off, NOT_ALNUM)
+    low = LOWER[data]
+    (whole,) = byte_hashes(low, starts, ends, 1)
+    (start,) = byte_hashes(low, starts, np.minimum(ends, starts + BEGINNING), 1)
+    return whole, np.where(ends - starts > BEGINNING, mix(start + U(1)), whole), first
 
-def _lookup(model: Model, key: np.ndarray) -> np.ndarray:
-    """Score of each key, not a number without evidence."""
-    if not len(model.keys):
-        return np.full(len(key), np.nan)
-    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-    return np.where(model.keys[at] == key, model.scores[at], np.nan)
 
+def _texts_of(first: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
-def _scan(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, list[tuple[int, int, float]]]]]:
+
+def _scan(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, list[tuple[int, int, float]]]]]:
     """Number of tokens before each text, and for texts with toxic tokens the scores of those and their segments."""
-    whole, start, first = _forms(data, off)
-    w = _lookup(model, whole)
-    unknown = np.flatnonzero(np.isnan(w))
-    w[unknown] = _lookup(model, start[unknown])
-    w[np.isnan(w)] = NEUTRAL
+    if model.places is None:
+        model.places = Places(model.keys)
+    whole, start, first = forms(data, off)
+    at = model.places.find(whole)
+    other = np.flatnonzero(at < 0)
+    at[other] = model.places.find(start[other])
+    w = np.append(model.scores, NEUTRAL)[at]  # -1, no evidence, is the last
     hits = np.flatnonzero(w > 0)
     of = np.searchsorted(first, hits, "right") - 1
     found = {}
     for text, own in zip(*_groups(of, hits), strict=True):
         found[text] = (w[own], segments(own - first[text], w[own]))
-    return first, w, found
+    return first, found
 
 
 def _groups(of: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -167,13 +160,13 @@ def _text_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
         for row, data, off in text_chunks(batch.column(2)):
-            whole, start, first = _forms(data, off)
-            of = np.repeat(np.arange(len(off) - 1), np.diff(first))
-            pairs = np.unique(np.stack((np.concatenate((of, of)), np.concatenate((whole, start)))), axis=1)
-            mark = y[row + pairs[0]]
-            keys, at = np.unique(pairs[1], return_inverse=True)
+            whole, start, first = forms(data, off)
+            keys, at = np.unique(np.concatenate((whole, start)), return_inverse=True)
+            of = _texts_of(first)
+            pairs = np.unique(np.concatenate((of, of)) * len(keys) + at)  # a form counts once a text
+            mark, at = y[row + pairs // max(1, len(keys))], pairs % max(1, len(keys))
             counts = [np.bincount(at, weights=mark == v, minlength=len(keys)).astype(np.int64) for v in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["key", "toxic", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], ["key", "toxic", "other"])
     tidy()
 
 
@@ -182,15 +175,15 @@ def _corpus(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = held.value
-        total = np.zeros(len(keys), dtype=np.int64)
+        places, total = Places(keys), np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
             for _, data, off in text_chunks(batch.column(0)):
-                whole, start, first = _forms(data, off)
-                of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                *both, first = forms(data, off)
+                of = _texts_of(first)
                 pairs = []
-                for form in (whole, start):
-                    at = np.minimum(np.searchsorted(keys, form), len(keys) - 1)
-                    hit = keys[at] == form
+                for form in both:
+                    at = places.find(form)
+                    hit = at >= 0
                     pairs.append(of[hit] * len(keys) + at[hit])
                 total += np.bincount(np.unique(np.concatenate(pairs)) % len(keys), minlength=len(keys))
         some = np.flatnonzero(total)
@@ -217,9 +210,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(texts) < 2:
         return Model(known=False)  # the labels are of other texts
-    forms = marked.mapInArrow(_text_forms, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    forms = forms.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).toArrow().sort_by("key")
-    keys, toxic, other = (forms.column(c).to_numpy() for c in ("key", "toxic", "other"))
+    counts = marked.mapInArrow(_text_forms, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = counts.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).toArrow()
+    keys, toxic, other = (counts.column(c).to_numpy() for c in ("key", "toxic", "other"))
+    order = np.argsort(keys.view(U))
+    keys, toxic, other = keys.view(U)[order], toxic[order], other[order]
     model = Model(keys, np.full(len(keys), NEUTRAL))
     if len(keys):
         held = send(docs, keys)
@@ -252,7 +247,7 @@ def _found(text: str, df: DataFrame, model: Model) -> Column:
         for batch in batches:
             tokens, positive, own = np.zeros(len(batch), dtype=np.int64), [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
             for row, data, off in text_chunks(batch):
-                first, _, found = _scan(held.value, data, off)
+                first, found = _scan(held.value, data, off)
                 tokens[row : row + len(off) - 1] = np.diff(first)
                 for at, (scores, rows) in found.items():
                     positive[row + at], own[row + at] = scores.tolist(), [s for *_, s in rows]
@@ -284,7 +279,7 @@ def toxic_passages(text: str, df: DataFrame, model: Model) -> Column:
         for batch in batches:
             best, many, passages = np.full(len(batch), NO_SEGMENT), np.zeros(len(batch)), [[] for _ in range(len(batch))]
             for row, data, off in text_chunks(batch):
-                first, _, found = _scan(model, data, off)
+                first, found = _scan(model, data, off)
                 for text, (_, rows) in found.items():
                     size = int(first[text + 1] - first[text])
                     e = [expected(model, size, s) for *_, s in rows]

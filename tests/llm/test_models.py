@@ -148,10 +148,10 @@ def test_toxicity_edges_and_passages(spark):
     assert {r["q"]["score"] for r in docs.withColumn("q", toxicity.toxic_passages("text", docs, none)).collect()} == {0.0}
     assert toxicity.train_toxicity(empty(spark), labels.limit(0)).known is False
     assert empty(spark).withColumn("q", toxicity.toxic_passages("text", docs, none)).count() == 0
-    data = np.frombuffer("vile".encode(), dtype=np.uint8)
-    whole, start, _ = toxicity._forms(data, np.array([0, len(data)]))
-    assert whole.tolist() == start.tolist()
-    model = toxicity.Model(whole, np.array([5.0]), 2.0, 0.01, (-3.0, 0.5, 0.5))
+    data = np.frombuffer(b"vile wretched wretc", dtype=np.uint8)
+    whole, start, _ = toxicity.forms(data, np.array([0, len(data)]))
+    assert whole[0] == start[0] and len({whole[1], start[1], whole[2], start[2]}) == 3
+    model = toxicity.Model(whole[:1], np.array([5.0]), 2.0, 0.01, (-3.0, 0.5, 0.5))
     one = spark.createDataFrame([("été vile words of no use, vile",)], "text string")
     got = one.withColumn("q", toxicity.toxic_passages("text", one, model)).first()["q"]
     assert [(p["start"], p["end"]) for p in got["passages"]] == [(4, 30)] and got["score"] > 0.5

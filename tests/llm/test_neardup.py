@@ -67,18 +67,25 @@ def test_long_words_that_differ_are_unlike(spark):
     assert {r["id"]: r["n_shingles"] for r in N.near_groups(df, k=1).collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 5, 6: 4}
 
 
-def test_long_texts_are_split_in_pieces():
-    from loomgrid.llm.common import NOT_ALNUM, SPACE, _runs, word_digests
+def test_byte_hashes_depend_on_the_bytes_alone():
+    from loomgrid.llm.common import LONG_WORD, NOT_ALNUM, SPACE, Places, word_digests
     from loomgrid.llm.common import words as places
 
-    text = ("Ab,c \t12 " * 300 + "x" * 700 + " y " + "z" * 400).encode()
-    data, off = np.frombuffer(text + b"one\x0btwo", dtype=np.uint8), np.array([0, len(text), len(text), len(text) + 7])
+    r = random.Random(2)
+    own = ["".join(r.choice("abAB") for _ in range(n)) for n in [*range(1, 40), LONG_WORD - 1, LONG_WORD, LONG_WORD + 1, 3000] for _ in range(3)]
+    text = " ".join(own + own[::-1]).encode()
+    data, off = np.frombuffer(text, dtype=np.uint8), np.array([0, len(text) // 2, len(text)])
     for gaps in (SPACE, NOT_ALNUM):
-        h, first = word_digests(data, off, gaps)
+        hashes, first = word_digests(data, off, gaps)
         starts, ends, want = places(data, off, gaps)
-        assert first.tolist() == want.tolist() and len(h) == len(starts)
-        split = [w for i, own in _runs(data, off, gaps, 64) for w in own]
-        assert split == [data[a:b].tobytes().lower() for a, b in zip(starts, ends)]
+        assert first.tolist() == want.tolist()
+        low = [data[a:b].tobytes().lower() for a, b in zip(starts, ends)]
+        for h in hashes:
+            assert len(set(zip(low, h.tolist()))) == len(set(low)) == len(set(h.tolist()))
+    keys = np.unique(hashes[0])
+    found = Places(keys[::2]).find(keys)
+    assert found[::2].tolist() == list(range(len(keys[::2]))) and set(found[1::2].tolist()) == {-1}
+    assert Places(keys[:0]).find(keys).tolist() == [-1] * len(keys)
 
 
 def test_hot_keys_are_attached_without_a_shuffle(spark, monkeypatch):
