@@ -6,7 +6,8 @@ its left neighbour's) and their ancestors. Short pieces are merged many at a tim
 of a matrix; long ones one by one. Encoded pieces are remembered in a bounded table.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; texts of any length are read
-whole, in pieces; other columns pass through untouched.
+whole, in pieces; rows repeated get the same ids; of equal ranks the leftmost pair merges first; an empty
+table gives an empty result; results are columns of expressions, so other columns cannot clash with them.
 """
 
 from __future__ import annotations

@@ -56,6 +56,12 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, removed on exit: nothing returned may read from it."""
@@ -63,8 +69,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield path
     finally:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

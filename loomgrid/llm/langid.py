@@ -7,7 +7,9 @@ table rows; for prediction the rows of two neighbouring symbols are added before
 every text is read; a text gets the mean of its windows' probabilities, weighted by their letters.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; very long texts are read in
-windows; rows repeated get the same answer; without labelled rows everything is `und`.
+windows; rows repeated get the same answer; without labelled rows everything is `und`; of equally likely
+languages the first by code point is taken; an empty table gives an empty result. Results are columns of
+expressions, so other columns of a table cannot clash with them.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import send, smallest_hashes, text_chunks, tidy
+from .common import free_names, send, smallest_hashes, text_chunks, tidy
 
 #: Labelled rows the classifier is fitted on: at most so many of each language, and so many in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
@@ -139,12 +142,16 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = smallest_hashes(chosen, F.col("id").cast("string"), SAMPLE_ROWS).select("id").collect()
     if not chosen:
         return None
-    rows = docs.where(F.col(id_col).isin([r["id"] for r in chosen])).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    # the sample is bounded, so its identifiers are broadcast; one row for each, whichever order rows come in
+    (picked,) = free_names(docs, "picked")
+    ids = docs.sparkSession.createDataFrame([(r["id"],) for r in chosen], T.StructType([T.StructField(picked, docs.schema[id_col].dataType)]))
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col(picked)).select(id_col, text_col, lang_col)
+    rows = rows.groupBy(id_col).agg(F.min(F.struct(F.col(text_col), F.col(lang_col))).alias(picked)).select(id_col, f"{picked}.*")
     cuts = [
         F.substring(text_col, 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(k)), F.greatest(F.lit(1), F.length(text_col) - LENGTH)).cast("int"), F.lit(LENGTH))
         for k in range(WINDOWS_PER_TEXT)
     ]
-    rows = rows.select(F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts")).limit(2 * SAMPLE_ROWS).toPandas()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts")).toPandas()
     labels = sorted(set(rows["lang"]))
     if not labels:
         return None

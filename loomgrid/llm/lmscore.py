@@ -13,7 +13,8 @@ scored beside them. A frequent bigram thus costs one entry a chunk, however ofte
 
 Defined cases: a null or empty text has no tokens and score 0; rows repeated under one identifier get
 one score each; a row without an identifier is scored like any other; an empty target gives score
-differences from smoothing alone; very long texts are scored whole.
+differences from smoothing alone; very long texts are scored whole; an empty table gives an empty result;
+equal texts get equal scores; other columns play no part, as all work is on own columns.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ stretches that begin at space marks; stretches seen before are remembered in a b
 Scores are whole numbers of 64ths, so sums are exact in doubles whatever their order.
 
 Defined cases: a null or empty text has no tokens; texts of any length are read whole; repeated rows
-get the same count and other columns pass through untouched.
+get the same count; an empty table gives an empty result; results are columns of expressions, so other
+columns cannot clash with them.
 """
 
 from __future__ import annotations

@@ -158,7 +158,7 @@ def test_toxicity_edges_and_passages(spark):
 
 
 def brute_difference(rows, target):
-    tokens = {d: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) for d, t in rows}
+    tokens = {d: [m.lower().decode() for m in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())] for d, t in rows}
     single = [Counter(), Counter()]
     for d, w in tokens.items():
         single[0].update(w)
