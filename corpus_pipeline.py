@@ -2,19 +2,26 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. Every stage works on all that its predecessor kept.
+
+Defined cases, of every stage: a null text counts as the empty one, which has no language and so goes at
+the first stage (and is kept where there is nothing to learn languages from); very long texts are read
+whole; rows without an identifier, or repeated under one, are judged by their text; ties go to the
+smaller identifier; an empty table gives an empty result; extra columns stay, whatever they are called.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm.bpe import bpe_both
-from loomgrid.llm.common import shared_dir
+from loomgrid.llm.common import free_names, remove, shared_dir
 from loomgrid.llm.exactdedup import exact_dedup
 from loomgrid.llm.langid import predict_language, train_language_model
 from loomgrid.llm.mixing import mixed
@@ -30,8 +37,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         # nothing to learn from, so nothing to reject by
         return docs
-    scored = docs.withColumn("__p", predict_language("text", docs, model))
-    return scored.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= LEAST_LANGUAGE_SCORE)).drop("__p")
+    (found,) = free_names(docs, "found")
+    scored = docs.withColumn(found, predict_language("text", docs, model))
+    return scored.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_LANGUAGE_SCORE)).drop(found)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +58,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token ids, their number, and whether they decode to the text again."""
+    """Adds token ids, their number, and whether they decode to the text again.
+
+    The new columns are ids, n_tokens and round_trip, or, where a column is called so already, the same with
+    as many underscores before them as make them new; the table's own columns stay as they are."""
     vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = docs.withColumn("__b", bpe_both("text", docs, *vocabulary))
-    same = F.col("__b.decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.withColumns({"ids": F.col("__b.ids"), "n_tokens": F.size("__b.ids").cast("long"), "round_trip": same}).drop("__b")
+    (both,) = free_names(docs, "both")
+    coded = docs.withColumn(both, bpe_both("text", docs, *vocabulary))
+    same = F.col(f"{both}.decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    have = {c.lower() for c in docs.columns}
+    new = lambda name: name if name not in have else new(f"_{name}")
+    return coded.withColumns({new("ids"): F.col(f"{both}.ids"), new("n_tokens"): F.size(f"{both}.ids").cast("long"), new("round_trip"): same}).drop(both)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,12 +84,27 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    """All stages over documents; each result but the last is written to the shared folder and read again.
+
+    A stage's table is removed once the next one is written. The last one is read by the result, which is
+    not yet worked out here, so it stays until the session ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{at}/{i}-{name}")
-            docs = spark.read.parquet(f"{at}/{i}-{name}")
+            path = f"{at}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
+    atexit.register(forget, spark, at)
     return docs
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove the pipeline's folder as the session ends; one that has ended already leaves it."""
+    with suppress(Exception):  # the session may be gone, and nothing is lost by a folder that stays
+        remove(spark, path)
