@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, decoders, lookups, matching, raster, sampling, sequences, text  # noqa: F401
+from . import aggregates, composites, decoders, lookups, matching, raster, sampling, sequences, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
