@@ -11,6 +11,9 @@ NAMED = {
     "ţ": "t_cedilla", "ż": "z_dot", "ž": "z_hacek", "'": "apostrophe", '"': "dquote", "¿": "iquest",
 }
 
+#: Accents of stressed vowels.
+STRESSED = {"a": "á", "e": "é", "i": "í", "o": "ó", "u": "ú", "ä": "â", "ë": "ê", "ö": "ô", "ü": "û"}
+
 #: Classes of a block of 128 code points by their last offset.
 OFFSET_CLASSES = (
     (0x03, "punctuation"), (0x0D, "number"), (0x11, "tenthPower"), (0x29, "primary"), (0x2F, "secondary"), (0x36, "tertiary"),
@@ -80,3 +83,13 @@ def drop_lines(text: Column, pattern: str) -> Column:
     """Text without the lines that match; a comma that then ends the line before a closing bracket goes too."""
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(pattern)), "\n")
     return F.regexp_replace(kept, r",([ \t\r]*\n[ \t]*[}\]])", "$1")
+
+
+def read_bits(cells: Column, paper: Column, share: float) -> Column:
+    """Bits of grey cells: 1 where a cell is darker than that share of the lightest cell of the paper beside them."""
+    return F.transform(cells, lambda v: (v < share * F.array_max(paper)).cast("int"))
+
+
+def stress_accent(text: Column) -> Column:
+    """Vowels with the accent of a stressed syllable."""
+    return F.translate(text, "".join(STRESSED), "".join(STRESSED.values()))

@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import STRESSED
 from .common import BROADCAST_ROWS, bound
 
 CELLS = 64
-#: Accents of stressed vowels.
-STRESSED = {"a": "á", "e": "é", "i": "í", "o": "ó", "u": "ú", "ä": "â", "ë": "ê", "ö": "ô", "ü": "û"}
 
 
 def packed(mask: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,6 +91,32 @@ def reoriented(mask: Column, width: int, height: int, orientation: int) -> Colum
     return bound(mask, lambda own: F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda t: cell(own, t)))
 
 
+def cropped(mask: Column, width: int, height: int, left: int, upper: int, out_width: int, out_height: int) -> Column:
+    """A window of a mask, its upper left cell at (left, upper); cells outside the mask are 0."""
+    inside = lambda a, b: (a >= 0) & (a < width) & (b >= 0) & (b < height)
+    return resample(mask, width, out_width, out_height, lambda t: t + left, lambda t: t + upper, inside)
+
+
+def turned(mask: Column, width: int, height: int, degrees: float) -> Column:
+    """A mask turned around its centre, nearest cells; what comes from outside is 0."""
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    mid_x, mid_y = (width - 1) / 2, (height - 1) / 2
+
+    def cell(own: Column, t: Column) -> Column:
+        x, y = t % width - mid_x, F.floor(t / width) - mid_y
+        sx, sy = F.floor(mid_x + cos * x + sin * y + 0.5).cast("int"), F.floor(mid_y - sin * x + cos * y + 0.5).cast("int")
+        inside = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
+        return F.when(inside, F.try_element_at(own, sy * width + sx + 1)).otherwise(F.lit(0))
+
+    return bound(mask, lambda own: F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda t: cell(own, t)))
+
+
+def softened(values: Column, width: int, height: int) -> Column:
+    """3 x 3 mean of the cells inside the image."""
+    total = lambda own, n: F.aggregate(n, F.lit(0.0), lambda s, j: s + F.element_at(own, j))
+    return bound(values, lambda own: F.transform(_near(width, height, 1), lambda n: total(own, n) / F.size(n)))
+
+
 def _near(width: int, height: int, radius: int) -> Column:
     """For each cell, the positions from 1 of the cells of its clipped square window: one folded literal."""
     cells = [(x, y) for y in range(height) for x in range(width)]

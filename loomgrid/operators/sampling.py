@@ -41,3 +41,26 @@ def head_split(df: DataFrame, keys: list[str], order: list[str], share: float, c
     rows = df.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(w))
     test = F.greatest(F.lit(1), F.floor(F.col("__n") * share))
     return rows.withColumn("part", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= test + cap, "train").otherwise("unused")).drop("__r", "__n")
+
+
+#: Bins of the search for the boundary of a split.
+BINS = 4096
+
+
+def global_split(df: DataFrame, draw_col: str, tie: str, share: float) -> DataFrame:
+    """df with `part`: the first share of all rows (one at least) in order of a draw in [0, 1) is test, the rest train.
+
+    Counts by bins of the draw find the bin where the boundary lies, and only that bin's rows are ranked."""
+    bin_of = F.floor(F.col(draw_col) * BINS).cast("int")
+    counts = df.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))  # BINS rows at most
+    every = F.sum("n").over(W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    wanted = F.greatest(F.lit(1), F.floor(every * share))
+    edge = counts.select("bin", upto.alias("upto"), "n", wanted.alias("wanted")).where("upto >= wanted")
+    edge = edge.agg(F.min(F.struct("bin", (F.col("wanted") - F.col("upto") + F.col("n")).alias("room"))).alias("edge"))
+    rows = df.crossJoin(F.broadcast(edge)).withColumn("bin", bin_of)  # one row, by construction
+    inside = rows.where(F.col("bin") == F.col("edge.bin"))
+    ranked = inside.withColumn("rank", F.row_number().over(W.partitionBy("bin").orderBy(draw_col, tie)))
+    ranked = ranked.withColumn("part", F.when(F.col("rank") <= F.col("edge.room"), "test").otherwise("train")).drop("rank")
+    clear = rows.where(F.col("bin") != F.col("edge.bin")).withColumn("part", F.when(F.col("bin") < F.col("edge.bin"), "test").otherwise("train"))
+    return clear.unionByName(ranked).drop("bin", "edge")

@@ -58,3 +58,9 @@ def first_wins(df: DataFrame, value: str, order: str) -> DataFrame:
 def tail(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows of each group, newest first as `age` from 1."""
     return df.withColumn("age", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("age") <= n)
+
+
+def partitioned(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet a condition, and all others, those where it is null among them."""
+    meets = F.coalesce(condition, F.lit(False))
+    return df.where(meets), df.where(~meets)

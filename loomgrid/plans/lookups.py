@@ -73,7 +73,6 @@ SELECT conv_id, turn, len(a)::INT AS n, list_sum(list_transform(range(1, len(a)
 def q_zip_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of consecutive turns compared place by place; aligned says whether the lengths agree."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), F.split(F.lead("text").over(W.partitionBy("conv_id").orderBy("turn", "role")), " ").alias("b"))
-    same = F.size(F.filter(F.arrays_zip(F.slice("a", 1, F.least(F.size("a"), F.size("b"))), F.slice("b", 1, F.least(F.size("a"), F.size("b")))), lambda p: p[0] == p[1]))
     pairs = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
     same = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
     return turns.where("b is not null").select("conv_id", "turn", F.size("a").alias("n"), same.alias("same"), (F.size("a") == F.size("b")).alias("aligned"))

@@ -48,7 +48,7 @@ def q_regex_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, len(string_split(t, chr(10)))::INT AS lines, length(t)::INT AS size FROM (SELECT page_id, array_to_string(list_filter(string_split(html, chr(10)), lambda x: NOT regexp_matches(x, '^\s*<(li|p)\b')), chr(10)) AS t FROM pages)""")
 def q_drop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.array_join(F.filter(F.split("html", "\n"), lambda line: ~line.rlike(r"^\s*<(li|p)\b")), "\n")
+    t = T.drop_lines(F.col("html"), r"^\s*<(li|p)\b")
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.split(t, "\n")).alias("lines"), F.length(t).alias("size"))
 
 
