@@ -11,48 +11,59 @@ from pyspark.sql import functions as F
 
 #: Straight pieces of one curve.
 STEPS = 10
-_TOKEN = re.compile(r"[MLHVQCZ]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
-_SIZES = {"M": 2, "L": 2, "H": 1, "V": 1, "Q": 4, "C": 6, "Z": 0}
-
-
-def flatten(path: str) -> list[list[tuple[float, float]]]:
-    """Polylines of a path of absolute M, L, H, V, Q, C and Z commands; curves become STEPS straight pieces."""
-    out: list[list[tuple[float, float]]] = []
-    tokens = _TOKEN.findall(path or "")
-    at, command, x, y = 0, "", 0.0, 0.0
-    while at < len(tokens):
-        if tokens[at] in _SIZES:
-            command = tokens[at]
-            at += 1
-        elif command in ("", "Z"):
-            at += 1
+#: Numbers that each command of the path grammar takes; small letters are relative to the current point.
+_TAKES = {"m": 2, "l": 2, "h": 1, "v": 1, "q": 4, "c": 6, "z": 0}
+_COMMANDS = re.compile(r"([A-Za-z])([^A-Za-z]*(?:[eE][-+]?[0-9][^A-Za-z]*)*)")
+_NUMBERS = re.compile(r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
+
+Point = tuple[float, float]
+
+
+def _commands(path: str) -> Iterator[tuple[str, list[float]]]:
+    """Each command with one set of its numbers; a letter followed by several sets is repeated, a move as lines."""
+    for letter, rest in _COMMANDS.findall(path):
+        takes = _TAKES.get(letter.lower())
+        if takes is None:
             continue
-        size = _SIZES[command]
-        if len(tokens) - at < size or any(t in _SIZES for t in tokens[at : at + size]):
-            at += 1  # too few numbers: they are passed over
+        if not takes:
+            yield letter, []
             continue
-        v = [float(t) for t in tokens[at : at + size]]
-        at += size
-        if command == "Z":
-            if out and out[-1]:
-                out[-1].append(out[-1][0])
+        numbers = [float(n) for n in _NUMBERS.findall(rest)]
+        for i in range(0, len(numbers) - takes + 1, takes):
+            yield letter, numbers[i : i + takes]
+            letter = {"M": "L", "m": "l"}.get(letter, letter)
+
+
+def flatten(path: str) -> list[list[Point]]:
+    """Polylines of a path of M, L, H, V, Q, C and Z commands, absolute or relative; curves become STEPS straight pieces.
+
+    A part of a single point draws nothing and is left out; sets of too few numbers are passed over."""
+    out: list[list[Point]] = []
+    x = y = 0.0
+    for letter, v in _commands(path or ""):
+        kind, relative = letter.lower(), letter.islower()
+        base = (x, y) if relative else (0.0, 0.0)
+        if kind == "z":
+            if out:
                 x, y = out[-1][0]
+                out[-1].append((x, y))
+                out.append([(x, y)])  # what follows starts anew from there
             continue
-        if command == "M":
-            out.append([(v[0], v[1])])
-            command_points, command = [(v[0], v[1])], "L"
-        elif command in "LHV":
-            command_points = [(v[0] if command != "V" else x, v[-1] if command != "H" else y)]
-            out[-1].extend(command_points) if out else out.append(command_points)
+        if kind in "hv":
+            knots = [(base[0] + v[0], y) if kind == "h" else (x, base[1] + v[0])]
         else:
-            knots = [(x, y), *zip(v[::2], v[1::2], strict=True)]
-            command_points = [_bezier(knots, i / STEPS) for i in range(1, STEPS + 1)]
-            out[-1].extend(command_points) if out else out.append(command_points)
-        x, y = command_points[-1]
-    return out
-
-
-def _bezier(knots: list[tuple[float, float]], t: float) -> tuple[float, float]:
+            knots = [(base[0] + a, base[1] + b) for a, b in zip(v[::2], v[1::2], strict=True)]
+        if kind == "m" or not out:
+            out.append([knots[-1]] if kind == "m" else [(x, y)])
+        if kind in "qc":
+            out[-1] += [_bezier([(x, y), *knots], i / STEPS) for i in range(1, STEPS + 1)]
+        elif kind != "m":
+            out[-1] += knots
+        x, y = out[-1][-1]
+    return [line for line in out if len(line) > 1]
+
+
+def _bezier(knots: list[Point], t: float) -> Point:
     while len(knots) > 1:
         knots = [((1 - t) * a + t * c, (1 - t) * b + t * d) for (a, b), (c, d) in zip(knots, knots[1:], strict=False)]
     return knots[0]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound, if_small
+from ..session import ship
+from .common import BROADCAST_ROWS, bound, if_small
 
 SQRT2 = 2.0**0.5
 
@@ -86,3 +91,54 @@ def chamfer_similarity(field_a: Column, mask_a: Column, field_b: Column, mask_b:
     """1 / (1 + half the sum of the two mean nearest distances); 0 if either mask is empty."""
     both = (mean_where(field_b, mask_a) + mean_where(field_a, mask_b)) / 2
     return F.coalesce(1 / (1 + both), F.lit(0.0))
+
+
+def octile_table(width: int, cells: int) -> np.ndarray:
+    """Octile distance between every two cells of a row-major bitmap."""
+    y, x = np.divmod(np.arange(cells), width)
+    a, b = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    return np.maximum(a, b) - np.minimum(a, b) + SQRT2 * np.minimum(a, b)
+
+
+def distance_fields(masks: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Distance of every cell to the nearest ink of its own mask, one row a mask; infinite without ink."""
+    out, step = np.empty(masks.shape), max(1, (1 << 22) // table.size)
+    for i in range(0, len(masks), step):
+        out[i : i + step] = np.where(masks[i : i + step, None, :], table, np.inf).min(axis=2)
+    return out
+
+
+def chamfer_scores(masks: np.ndarray, templates: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Similarity of every mask (row) with every template (column): two matrix products; 0 if either is empty."""
+    far, template_far = distance_fields(masks, table), distance_fields(templates, table)
+    ink, template_ink = masks.sum(axis=1)[:, None], templates.sum(axis=1)
+    there = (ink > 0) & (template_ink > 0)
+    finite = lambda f: np.where(np.isfinite(f), f, 0.0)
+    both = masks @ finite(template_far).T / np.maximum(ink, 1) + finite(far) @ templates.T / np.maximum(template_ink, 1)
+    return np.where(there, 1 / (1 + both / 2), 0.0)
+
+
+def chamfer_nearest(items: DataFrame, templates: DataFrame, key: str, width: int) -> DataFrame:
+    """key, t_id, t_label, score of the best template of each item; ties, at nine digits, to the smaller t_id.
+
+    items: key, mask; templates: t_id, t_label, mask, at most BROADCAST_ROWS, which are sent to every task once,
+    with nothing shuffled. Masks are compared a batch at a time."""
+    rows = templates.select("t_id", "t_label", "mask").limit(BROADCAST_ROWS + 1).toArrow().sort_by("t_id")
+    if rows.num_rows > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} templates")
+    ids, labels = rows.column("t_id").to_numpy(), rows.column("t_label").to_numpy()
+    book = np.array(rows.column("mask").to_pylist(), dtype=bool)
+    schema = f"{key} long, t_id long, t_label int, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(book):
+                continue
+            masks = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(bool)
+            score = chamfer_scores(masks, book, octile_table(width, masks.shape[1]))
+            best = np.round(score, 9).argmax(axis=1)
+            columns = [batch.column(0).cast(pa.int64()), pa.array(ids[best], pa.int64()), pa.array(labels[best], pa.int32()), pa.array(score[np.arange(len(best)), best])]
+            yield pa.RecordBatch.from_arrays(columns, [key, "t_id", "t_label", "score"])
+
+    ship(items.sparkSession)
+    return items.select(key, "mask").where("mask is not null").mapInArrow(run, schema)

@@ -6,7 +6,9 @@ import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,19 @@ def truncated(c: Column) -> Column:
 
 def normalised(mask: Column, box: Column, width: int, size: int) -> Column:
     """The ink's box, centred in a square, sampled to size x size by nearest neighbour; all 0 without ink."""
-    x, y, w, h = (box[c] for c in "xywh")
-    side = F.greatest(w, h)
-    off_x, off_y = F.floor((side - w) / 2).cast("int"), F.floor((side - h) / 2).cast("int")
-    sx = lambda t: x + truncated(t * side / size - off_x)
-    sy = lambda t: y + truncated(t * side / size - off_y)
-    inside = lambda a, b: (a >= x) & (a < x + w) & (b >= y) & (b < y + h)
-    return F.when(box.isNull(), F.array_repeat(F.lit(0), size * size)).otherwise(resample(mask, width, size, size, sx, sy, inside))
+    # mask, box and what follows from the box are worked out once a row, not once a cell
+    side = F.greatest(box["w"], box["h"])
+    half = lambda c: F.floor((side - box[c]) / 2).cast("int")
+    known = F.struct(mask.alias("mask"), *[box[c].alias(c) for c in "xywh"], side.alias("side"), half("w").alias("off_x"), half("h").alias("off_y"))
+
+    def cell(k: Column, t: Column) -> Column:
+        place = lambda i, off: truncated(i * k["side"] / size - k[off])
+        x, y = place(t % size, "off_x"), place(F.floor(t / size), "off_y")
+        inside = (x >= 0) & (x < k["w"]) & (y >= 0) & (y < k["h"])
+        return F.when(inside, F.try_element_at(k["mask"], ((y + k["y"]) * width + x + k["x"] + 1).cast("int"))).otherwise(F.lit(0))
+
+    cells = F.sequence(F.lit(0), F.lit(size * size - 1))
+    return F.when(box.isNull(), F.array_repeat(F.lit(0), size * size)).otherwise(bound(known, lambda k: F.transform(cells, lambda t: cell(k, t))))
 
 
 def stretched(mask: Column, box: Column, width: int, size: int) -> Column:
@@ -159,35 +167,46 @@ COMPONENT = "id long, component int, x int, y int, w int, h int, pixels int"
 def components(df: DataFrame, id_col: str, mask_col: str, width: int, least: int = 1, diagonal: bool = True) -> DataFrame:
     """Connected ink of each mask: number (in order of the first cell), box and number of cells; small ones go.
 
-    One image is a few cells, so the search runs inside Arrow batches and nothing is shuffled."""
+    Labels spread over all masks of an Arrow batch at once, and nothing is shuffled."""
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (diagonal or not (dx and dy))]
 
-    def label(mask: list[int]) -> list[tuple[int, int, int, int, int]]:
-        left, out = {i for i, v in enumerate(mask) if v}, []
-        for first in range(len(mask)):
-            if first not in left:
-                continue
-            left.discard(first)
-            seen, todo = [first], [first]
-            while todo:
-                x, y = (i := todo.pop()) % width, i // width
-                for dx, dy in steps:
-                    j = (y + dy) * width + x + dx
-                    if 0 <= x + dx < width and j in left:
-                        left.discard(j)
-                        seen.append(j)
-                        todo.append(j)
-            xs, ys = [i % width for i in seen], [i // width for i in seen]
-            if len(seen) >= least:
-                out.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(seen)))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def labelled(ink: np.ndarray) -> np.ndarray:
+        """The position of its component's first cell for each cell of ink (mask, y, x), all masks at once."""
+        n, height, _ = ink.shape
+        none = height * width
+        own = np.where(ink, np.arange(none).reshape(height, width), none)
+        while True:
+            framed = np.pad(own, ((0, 0), (1, 1), (1, 1)), constant_values=none)
+            near = [framed[:, 1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dx, dy in steps]
+            new = np.where(ink, np.minimum.reduce([own, *near]), none)
+            # each cell then follows the label of the cell that its label names
+            flat = np.concatenate((new.reshape(n, none), np.full((n, 1), none)), axis=1)
+            new = np.take_along_axis(flat, new.reshape(n, none), axis=1).reshape(own.shape)
+            if (new == own).all():
+                return own
+            own = new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, n, *c) for i, m in zip(batch["id"], batch["mask"], strict=True) for n, c in enumerate(label(list(m)))]
-            yield pd.DataFrame(rows, columns=["id", "component", "x", "y", "w", "h", "pixels"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(mask_col).alias("mask")).mapInPandas(run, COMPONENT)
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+            for size in np.unique(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)):
+                part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), int(size)))
+                ink = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1, width) > 0
+                row, y, x = np.nonzero(ink)
+                key = row * int(size) + labelled(ink)[row, y, x]
+                found, at, pixels = np.unique(key, return_inverse=True, return_counts=True)
+                low, high = np.full((2, len(found)), size), np.full((2, len(found)), -1)
+                for d, place in enumerate((x, y)):
+                    np.minimum.at(low[d], at, place)
+                    np.maximum.at(high[d], at, place)
+                keep = pixels >= least
+                owner = (found // int(size))[keep]
+                number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                columns = [pa.array(part.column(0).to_numpy(zero_copy_only=False)[owner], pa.int64())]
+                columns += [pa.array(c, pa.int32()) for c in (number, *low[:, keep], *(high - low + 1)[:, keep], pixels[keep])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "component", "x", "y", "w", "h", "pixels"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(mask_col).alias("mask")).where("id is not null").mapInArrow(run, COMPONENT)
 
 
 def role(c: str, base: str) -> Column:

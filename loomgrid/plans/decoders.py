@@ -81,11 +81,11 @@ def q_classify_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = R.components(masks, "vec_id", "mask", raster.SIDE, 3)
     base = parts.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("pixels"), "component"))).where("n = 1")
     own = base.join(masks.select(F.col("vec_id").alias("id"), "mask"), "id")
-    own = own.select("id", R.normalised(F.col("mask"), F.struct("x", "y", "w", "h"), raster.SIDE, raster.SIDE).alias("m")).withColumn("f", M.distance_field(F.col("m"), raster.SIDE))
+    own = own.select("id", R.normalised(F.col("mask"), F.struct("x", "y", "w", "h"), raster.SIDE, raster.SIDE).alias("mask"))
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    t = M.templates_first(own.join(labels, "id"), "label", "id").select(F.col("label").alias("class"), F.col("id").alias("t_id"), F.col("m").alias("tm"), F.col("f").alias("tf"))
-    best = M.nearest(own, t, -F.round(M.chamfer_similarity(F.col("f"), F.col("m"), F.col("tf"), F.col("tm")), 9), 1, "id", "t_id")
-    return best.select(F.col("id").alias("vec_id"), "t_id", F.col("class").alias("predicted"), F.round(-F.col("distance"), 6).alias("score"))
+    t = M.templates_first(own.join(labels, "id"), "label", "id").select(F.col("id").alias("t_id"), F.col("label").alias("t_label"), "mask")
+    best = M.chamfer_nearest(own, t, "id", raster.SIDE)
+    return best.select(F.col("id").alias("vec_id"), "t_id", F.col("t_label").alias("predicted"), F.round("score", 6).alias("score"))
 
 
 MANIFEST = {
@@ -193,6 +193,19 @@ def q_path_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("vec_id", F.size("l").alias("lines"), F.aggregate("l", F.lit(0), lambda a, x: a + F.size(x)).alias("points"))
 
 
+@query("""WITH p AS (SELECT vec_id, round(embedding[1]::DOUBLE * 100) / 10 AS a, round(embedding[2]::DOUBLE * 100) / 10 AS b FROM embeddings),
+c AS (SELECT vec_id, 0 AS n, a AS x, 0.0::DOUBLE AS y FROM p UNION ALL SELECT vec_id, i, a + 2 * (i / 10.0::DOUBLE) * (1 - i / 10.0::DOUBLE) * 2 + (i / 10.0::DOUBLE) ** 2 * 8, 2 * (i / 10.0::DOUBLE) * (1 - i / 10.0::DOUBLE) * 4 FROM p, range(1, 11) r(i)
+UNION ALL SELECT vec_id, 11, a + 8 + b, 3 FROM p UNION ALL SELECT vec_id, 12, 5, 3 FROM p UNION ALL SELECT vec_id, 13, 5, b FROM p UNION ALL SELECT vec_id, 14, a, 0 FROM p)
+SELECT vec_id, n::INT AS n, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM c""")
+def q_path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of paths with relative and absolute commands: a curve, lines, and the way back to the start."""
+    ship(spark)
+    a, b = (F.round(F.get("embedding", F.lit(i)).cast("double") * 100) / 10 for i in (0, 1))
+    path = F.concat(F.lit("M"), a.cast("string"), F.lit(",0q2 4 8,0l"), b.cast("string"), F.lit(" 3H5V"), b.cast("string"), F.lit("zm1 1"))
+    lines = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.get(G.flattened(path), F.lit(0))).alias("n", "p"))
+    return lines.select("vec_id", "n", (F.round("p.x", 6) + 0).alias("x"), (F.round("p.y", 6) + 0).alias("y"))
+
+
 @query("""WITH d AS (SELECT doc_id, lower(text) AS t, row_number() OVER (ORDER BY doc_id) AS rn FROM documents), h AS (SELECT * FROM d WHERE rn <= 20), l AS (SELECT chr(x::INT) AS letter FROM range(97, 123) t(x)),
 u AS (SELECT letter FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE contains(h.t, letter))) SELECT letter, (SELECT min(doc_id) FROM d WHERE contains(d.t, letter) AND rn > 20) AS repair FROM u""")
 def q_coverage_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,11 +100,8 @@ SELECT vec_id, t_id, t_label, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, t_id) AS rn FROM s) WHERE rn = 1""")
 def q_chamfer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = table(spark, sf_dir, "embeddings").select("vec_id", "label", M.ink_mask(F.col("embedding")).alias("mask"))
-    masks = masks.withColumn("field", M.distance_field(F.col("mask"), 8))
-    t = M.templates_first(masks, "label", "vec_id").select(F.col("vec_id").alias("t_id"), F.col("label").alias("t_label"), F.col("mask").alias("tm"), F.col("field").alias("tf"))
-    score = M.chamfer_similarity(F.col("field"), F.col("mask"), F.col("tf"), F.col("tm"))
-    best = M.nearest(masks, t.persist(), -F.round(score, 9), 1, "vec_id", "t_id")
-    return best.select("vec_id", "t_id", "t_label", F.round(-F.col("distance"), 6).alias("score"))
+    t = M.templates_first(masks, "label", "vec_id").select(F.col("vec_id").alias("t_id"), F.col("label").alias("t_label"), "mask")
+    return M.chamfer_nearest(masks, t, "vec_id", 8).withColumn("score", F.round("score", 6))
 
 
 @query(RANKED_SQL + """, p AS (SELECT vec_id, label, max(CASE WHEN rank = 1 THEN t_label END) AS first, max(CASE WHEN rank = 2 THEN t_label END) AS second FROM r WHERE rank <= 2 GROUP BY vec_id, label)

@@ -1,14 +1,15 @@
-"""Image sources and sinks: PNG in numpy and zlib, format by content, orientation tags."""
+"""Image sources and sinks: PNG in numpy and zlib, JPEG by Spark's image source, orientation, datasets, sheets, SVG."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 IMAGE = "path string, width int, height int, data binary, ok boolean, reason string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -81,21 +82,76 @@ def jpeg_orientation(data: bytes) -> int:
     return 1
 
 
+def oriented(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """Pixels (height, width, channel) turned or mirrored as orientation tag 1 to 8 asks."""
+    if orientation >= 5:
+        pixels = pixels.transpose(1, 0, 2)
+    if orientation in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    return pixels
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file of a folder: size and RGBA bytes, or why it could not be read. The kind is told by content."""
+    """One row per file of a folder: size and RGBA bytes, or why it could not be read. The kind is told by content.
+
+    JPEG files are decoded by Spark's own image source and then turned as their orientation tag asks; files that
+    it cannot decode stay as rows with a reason. PNG files are decoded here."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    is_jpeg = F.hex(F.substring("content", 1, 3)) == "FFD8FF"
+    tagged = files.where(is_jpeg).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), "path", "content")
+    decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    decoded = decoded.select(F.regexp_replace("origin", "^file:/+", "/").alias("at"), "height", "width", "nChannels", F.col("data").alias("raw"))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def png(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    if content[:3] == b"\xff\xd8\xff":
-                        raise ValueError(f"no JPEG decoder; orientation {jpeg_orientation(content)}")
-                    image = decode_png(content)
-                    rows.append((name, image.shape[1], image.shape[0], image.tobytes(), True, None))
-                except (ValueError, struct.error, zlib.error) as problem:
-                    rows.append((name, None, None, None, False, str(problem)))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "data", "ok", "reason"])
-
-    return files.mapInPandas(decode, IMAGE)
+            yield pd.DataFrame([_row(name, lambda c=content: decode_png(c)) for name, content in zip(batch["path"], batch["content"], strict=True)], columns=_COLUMNS)
+
+    def jpeg(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pixels(r) -> np.ndarray:
+            if r.raw is None:
+                raise ValueError(f"undecodable JPEG; orientation {jpeg_orientation(r.content)}")
+            image = np.frombuffer(r.raw, dtype=np.uint8).reshape(int(r.height), int(r.width), int(r.nChannels))
+            colour = image[:, :, 2::-1] if r.nChannels >= 3 else np.repeat(image, 3, axis=2)  # blue comes first
+            rgba = np.concatenate((colour, np.full((*image.shape[:2], 1), 255, dtype=np.uint8)), axis=2)
+            return oriented(rgba, jpeg_orientation(r.content))
+
+        for batch in batches:
+            yield pd.DataFrame([_row(r.path, lambda r=r: pixels(r)) for r in batch.itertuples(index=False)], columns=_COLUMNS)
+
+    turned = tagged.join(decoded, "at", "left").select("path", "content", "height", "width", "nChannels", "raw")
+    return files.where(~is_jpeg).mapInPandas(png, IMAGE).unionByName(turned.mapInPandas(jpeg, IMAGE))
+
+
+_COLUMNS = ["path", "width", "height", "data", "ok", "reason"]
+
+
+def _row(name: str, decode: Callable[[], np.ndarray]) -> tuple:
+    """A file's row: its pixels, or the reason why there are none."""
+    try:
+        image = decode()
+        return name, image.shape[1], image.shape[0], image.tobytes(), True, None
+    except (ValueError, struct.error, zlib.error) as problem:
+        return name, None, None, None, False, str(problem)
+
+
+def svg_wrapper(path: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
+    """An SVG document of one outline in font coordinates, whose y axis points up: the view box is mirrored."""
+    view = F.concat_ws(" ", *[c.cast("string") for c in (x_min, -y_max, x_max - x_min, y_max - y_min)])
+    return F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="'), view, F.lit('"><g transform="scale(1 -1)"><path d="'), path, F.lit('"/></g></svg>'))
+
+
+def write_dataset(samples: DataFrame, path: str) -> None:
+    """Images (class, file, png bytes) as a dataset: a table in one folder per class, and a manifest of all samples.
+
+    The manifest has one line a sample, written by as many tasks as there are parts, so its size does not matter."""
+    samples.select("class", "file", "png").write.mode("overwrite").partitionBy("class").parquet(f"{path}/images")
+    samples.drop("png").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_sheets(cells: DataFrame, path: str) -> None:
+    """Capture sheets: one JSON document per sheet with its cells in order; a sheet has a bounded number of cells."""
+    names = [c for c in cells.columns if c != "sheetId"]
+    listed = F.array_sort(F.collect_list(F.struct(*names)))
+    cells.groupBy("sheetId").agg(listed.alias("cells")).withColumn("sheet", F.col("sheetId")).write.mode("overwrite").partitionBy("sheet").json(path)

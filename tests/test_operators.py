@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ from loomgrid.operators import matching as M
 from loomgrid.operators import raster as R
 from loomgrid.operators import sampling as P
 from loomgrid.operators import sequences as S
+from loomgrid.plans import decoders, raster
 from loomgrid.sources import images, records
 
 
@@ -170,6 +172,14 @@ def test_path_flatten():
     assert np.allclose(G.flatten("M0 0Q1 2 2 0")[0][5], (1, 1))
 
 
+def test_relative_paths_equal_absolute_ones():
+    same = lambda a, b: [np.round(x, 9).tolist() for x in G.flatten(a)] == [np.round(x, 9).tolist() for x in G.flatten(b)]
+    assert same("m1 2l3 0h2v-1q1 1 2 0c0 1 1 1 1 0z", "M1 2L4 2H6V1Q7 2 8 1C8 2 9 2 9 1Z")
+    assert same("m1 1 2 0 0 2z l1 1", "M1 1L3 1L3 3Z M1 1L2 2")
+    assert same("M0 0L1 1M5 5M6 6L7 7", "M0 0L1 1M6 6L7 7") and G.flatten("M5 5") == []
+    assert same("M0-1.5.5.25", "M0 -1.5 L.5 .25") and same("M1e1 2E-1l-1-1", "M10 .2L9 -.8")
+
+
 @given(st.integers(1, 9), st.integers(1, 7), st.integers(0, 99))
 @settings(max_examples=30, deadline=None)
 def test_png_round_trip(width, height, seed):
@@ -235,3 +245,117 @@ def test_nearest_in_pool_meets_the_whole_pool(spark):
     for block in (7, 500):
         got = M.nearest_in_pool(items, "vec_id", "label", "v", 3, block).collect()
         assert {(r["vec_id"], r["ref_id"], r["rank"], r["distance"]) for r in got} == want
+
+
+def test_jpeg_is_decoded_and_turned(spark, tmp_path):
+    """A JPEG written by the Java image library, as it is and with an orientation tag put in."""
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 8, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for x in range(16):
+        for y in range(8):
+            picture.setRGB(x, y, 0xE01010 if x < 8 else 0x1010E0)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/a.jpg"))
+    plain = (tmp_path / "a.jpg").read_bytes()
+    for tag in (3, 6):
+        exif = b"Exif\0\0" + b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, tag, 0, 0)
+        (tmp_path / f"t{tag}.jpg").write_bytes(plain[:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + plain[2:])
+    (tmp_path / "broken.jpg").write_bytes(plain[:3] + b"nothing")
+    (tmp_path / "b.png").write_bytes(images.encode_png(np.full((2, 3, 4), 7, dtype=np.uint8)))
+    rows = {r["path"].rpartition("/")[2]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert {n for n, r in rows.items() if r["ok"]} == {"a.jpg", "t3.jpg", "t6.jpg", "b.png"} and rows["broken.jpg"]["reason"]
+    shown = {n: np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], 4) for n, r in rows.items() if r["ok"]}
+    assert shown["a.jpg"].shape == (8, 16, 4) and shown["t6.jpg"].shape == (16, 8, 4)
+    red = lambda p: p[0] > 180 and p[2] < 80
+    assert red(shown["a.jpg"][4, 1]) and not red(shown["a.jpg"][4, 14]) and red(shown["t3.jpg"][4, 14]) and red(shown["t6.jpg"][1, 4])
+
+
+@pytest.mark.parametrize("orientation", range(1, 9))
+def test_orientation_of_pixels_equals_that_of_masks(spark, orientation):
+    mask = np.arange(6).reshape(2, 3)
+    got = images.oriented(mask[:, :, None], orientation)[:, :, 0]
+    want = one(spark, mask.ravel().tolist(), R.reoriented(F.col("m"), 3, 2, orientation).alias("r"))["r"]
+    assert got.ravel().tolist() == want
+
+
+def test_dataset_sheets_and_svg(spark, tmp_path):
+    samples = spark.createDataFrame([("c-a", "1.png", bytearray(b"x"), True), ("c-b", "2.png", bytearray(b"y"), False)], "class string, file string, png binary, clean boolean")
+    images.write_dataset(samples, f"{tmp_path}/d")
+    back = spark.read.parquet(f"{tmp_path}/d/images").collect()
+    assert {(r["class"], r["file"], bytes(r["png"])) for r in back} == {("c-a", "1.png", b"x"), ("c-b", "2.png", b"y")}
+    assert {(r["class"], r["file"], r["clean"]) for r in spark.read.json(f"{tmp_path}/d/manifest").collect()} == {("c-a", "1.png", True), ("c-b", "2.png", False)}
+    cells = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "sheetId int, index int, root string")
+    images.write_sheets(cells, f"{tmp_path}/s")
+    sheets = {r["sheetId"]: [c["root"] for c in r["cells"]] for r in spark.read.json(f"{tmp_path}/s").collect()}
+    assert sheets == {1: ["a", "b"], 2: ["c"]}
+    svg = spark.range(1).select(images.svg_wrapper(F.lit("M0 0L1 1"), *(F.lit(v) for v in (-2, -5, 10, 20))).alias("s")).first()["s"]
+    assert 'viewBox="-2 -20 12 25"' in svg and "scale(1 -1)" in svg and "M0 0L1 1" in svg
+
+
+def test_homography_and_warp(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    centre = {r["vec_id"]: (r["px"], r["py"]) for r in raster.q_homography(spark, sf).collect()}
+    straight = {r["vec_id"]: (r["mean"], r["low"], r["high"]) for r in raster.q_warp(spark, sf).collect()}
+    assert centre.keys() == straight.keys() == rows.keys()
+    for vec_id, e in list(rows.items())[:60]:
+        to = raster.CORNERS + e[:8].reshape(4, 2)
+        # the map from the null space of the usual eight by nine system
+        system = []
+        for (x, y), (u, v) in zip(raster.CORNERS, to):
+            system += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
+        h = np.linalg.svd(np.array(system))[2][-1].reshape(3, 3)
+        place = lambda x, y: (h @ (x, y, 1))[:2] / (h @ (x, y, 1))[2]
+        assert np.allclose(centre[vec_id], place(3.5, 3.5), atol=1e-5)
+        grey, out = (128 + 100 * e).reshape(8, 8), []
+        for y in range(8):
+            for x in range(8):
+                px, py = place(x, y)
+                left, upper = math.floor(px), math.floor(py)
+                value = lambda a, b: grey[b, a] if 0 <= a < 8 and 0 <= b < 8 else 255.0
+                fx, fy = px - left, py - upper
+                out.append((value(left, upper) * (1 - fx) + value(left + 1, upper) * fx) * (1 - fy) + (value(left, upper + 1) * (1 - fx) + value(left + 1, upper + 1) * fx) * fy)
+        assert abs(straight[vec_id][0] - np.mean(out)) < 0.1
+
+
+def test_classify_regions_equals_plain_code(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r["vec_id"]: r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    shown = {}
+    for vec_id, r in rows.items():
+        ink = {(i % 8, i // 8) for i, v in enumerate(r["embedding"]) if v > 0.12}
+        parts, order = [], sorted(ink, key=lambda p: (p[1], p[0]))
+        left = set(ink)
+        for p in order:
+            if p in left:
+                part, todo = set(), [p]
+                left.discard(p)
+                while todo:
+                    x, y = todo.pop()
+                    part.add((x, y))
+                    near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                    left -= near
+                    todo += near
+                if len(part) >= 3:
+                    parts.append(part)
+        if not parts:
+            continue
+        base = max(parts, key=len)  # the first of the largest
+        x0, y0 = min(x for x, _ in base), min(y for _, y in base)
+        w, h = max(x for x, _ in base) - x0 + 1, max(y for _, y in base) - y0 + 1
+        side, cells = max(w, h), set()
+        for t in range(64):
+            a, b = math.trunc(t % 8 * side / 8 - (side - w) // 2), math.trunc(t // 8 * side / 8 - (side - h) // 2)
+            if 0 <= a < w and 0 <= b < h and (x0 + a, y0 + b) in ink:
+                cells.add((t % 8, t // 8))
+        shown[vec_id] = cells
+    octile = lambda p, q: max(abs(p[0] - q[0]), abs(p[1] - q[1])) + (2**0.5 - 1) * min(abs(p[0] - q[0]), abs(p[1] - q[1]))
+    mean = lambda a, b: sum(min(octile(p, q) for q in b) for p in a) / len(a)
+    first = {}
+    for vec_id in sorted(shown):
+        first.setdefault(rows[vec_id]["label"], vec_id)
+    got = {r["vec_id"]: r for r in decoders.q_classify_regions(spark, sf).collect()}
+    assert got.keys() == shown.keys()
+    for vec_id in sorted(shown)[:80]:
+        scores = {t: round(1 / (1 + (mean(shown[vec_id], shown[t]) + mean(shown[t], shown[vec_id])) / 2), 9) for t in first.values()}
+        best = min(scores, key=lambda t: (-scores[t], t))
+        assert got[vec_id]["t_id"] == best and abs(got[vec_id]["score"] - scores[best]) < 1e-6
