@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import if_small
+
 
 def left_default(left: DataFrame, right: DataFrame, on: str, defaults: dict[str, object]) -> DataFrame:
     """Left join where a missing record reads as the defaults."""
@@ -40,10 +42,10 @@ def range_audit(present: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
     """Per range (name, low, high): expected and actual number of members, how many are missing, and a status.
 
     Both sides are counted per range; the expected members are never written out."""
-    keys = present.select(key).distinct()
-    hit = keys.join(F.broadcast(ranges), F.col(key).between(F.col("low"), F.col("high"))).groupBy("name").agg(F.count(F.lit(1)).alias("actual"))
-    rows = present.join(F.broadcast(ranges), F.col(key).between(F.col("low"), F.col("high"))).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
-    out = ranges.join(hit, "name", "left").join(rows, "name", "left")
+    # each key is counted first, so the ranges meet a row a key, and they are broadcast only if they are few
+    keys, ranges = present.groupBy(key).agg(F.count(F.lit(1)).alias("rows")), if_small(ranges)
+    hit = keys.join(ranges, F.col(key).between(F.col("low"), F.col("high"))).groupBy("name").agg(F.count(F.lit(1)).alias("actual"), F.sum("rows").alias("rows"))
+    out = ranges.join(hit, "name", "left")
     expected, actual = F.col("high") - F.col("low") + 1, F.coalesce("actual", F.lit(0)).cast("long")
     status = F.when(actual < expected, "GAP").when(F.coalesce("rows", F.lit(0)) > expected, "EXCESS").otherwise("OK")
     return out.select("name", expected.cast("long").alias("expected"), actual.alias("actual"), (expected - actual).cast("long").alias("missing"), status.alias("status"))

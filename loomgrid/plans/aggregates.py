@@ -101,10 +101,11 @@ def q_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("source", (F.row_number().over(W.orderBy("source")) - 1).alias("idx"), "n")
 
 
-@query("SELECT label, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label")
+@query("SELECT label, vec_id // 256 AS page, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label, page")
 def q_group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of each label in pages of bounded length, so no row grows with the table."""
     members = F.array_join(F.array_sort(F.collect_list("vec_id")), ",")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), members.alias("members"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label").groupBy("label", F.floor(F.col("vec_id") / 256).alias("page")).agg(F.count(F.lit(1)).alias("n"), members.alias("members"))
 
 
 @query("SELECT l_linestatus AS status, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM lineitem)::DOUBLE, 6) AS pct FROM lineitem GROUP BY l_linestatus")

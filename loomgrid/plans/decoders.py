@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import heads as H
 from ..operators import lookups as L
 from ..operators import matching as M
 from ..operators import raster as R
@@ -63,15 +64,15 @@ def q_decode_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(matching.RANKED_SQL + """, c AS (SELECT vec_id, label, t_label, 1 / (1 + distance) AS score FROM r WHERE rank = 1)
-SELECT label, string_agg(CASE WHEN score >= 0.4 THEN t_label::VARCHAR ELSE '·' END, ' ' ORDER BY vec_id) AS text,
-count(CASE WHEN score >= 0.4 THEN 1 END) AS sure, count(CASE WHEN score >= 0.3 AND score < 0.4 THEN 1 END) AS likely, count(CASE WHEN score < 0.3 THEN 1 END) AS doubtful FROM c GROUP BY label""")
+SELECT label, vec_id // 256 AS page, string_agg(CASE WHEN score >= 0.4 THEN t_label::VARCHAR ELSE '·' END, ' ' ORDER BY vec_id) AS text,
+count(CASE WHEN score >= 0.4 THEN 1 END) AS sure, count(CASE WHEN score >= 0.3 AND score < 0.4 THEN 1 END) AS likely, count(CASE WHEN score < 0.3 THEN 1 END) AS doubtful FROM c GROUP BY label, page""")
 def q_confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best class where its score reaches the floor, a dot elsewhere, in reading order; and counts by band."""
+    """The best class where its score reaches the floor, a dot elsewhere, in reading order by pages of bounded length; and counts by band."""
     s = matching.ranked(spark, sf_dir, 1).withColumn("score", 1 / (1 + F.col("distance")))
     mark = F.when(F.col("score") >= 0.4, F.col("t_label").cast("string")).otherwise("·")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", mark.alias("m")))), lambda x: x["m"]), " ")
     band = lambda c: F.count(F.when(c, 1))
-    return s.groupBy("label").agg(text.alias("text"), band(F.col("score") >= 0.4).alias("sure"), band((F.col("score") >= 0.3) & (F.col("score") < 0.4)).alias("likely"), band(F.col("score") < 0.3).alias("doubtful"))
+    return s.groupBy("label", F.floor(F.col("vec_id") / 256).alias("page")).agg(text.alias("text"), band(F.col("score") >= 0.4).alias("sure"), band((F.col("score") >= 0.3) & (F.col("score") < 0.4)).alias("likely"), band(F.col("score") < 0.3).alias("doubtful"))
 
 
 @query()
@@ -237,3 +238,63 @@ def q_model_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     model_rows = p.select("vec_id", F.col("label").cast("int").alias("label"), F.get("top", F.lit(0)).alias("predicted"), F.round(F.array_max("p"), 4).alias("confidence"), F.array_contains("top", F.col("label").cast("int")).alias("in_top3"))
     base = matching.ranked(spark, sf_dir, 1).select("vec_id", F.col("t_label").alias("template"))
     return model_rows.join(if_small(base), "vec_id")
+
+
+#: Heads over the labels: features of a primary, an extension that may be absent, three slots twice over.
+HEADS = {
+    "version": "label % 2", "stem": "label % 3", "context": "label div 5",
+    "top": "CASE WHEN label < 4 THEN 'NONE' ELSE concat('t', label) END", "core": "label", "bottom": "label % 4",
+}
+#: Least confidence at which a version is accepted.
+SURE_VERSION = 0.97
+
+
+@query()
+def q_model_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier with several heads on rows held out, each with its confidence; the version only if it is sure."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").withColumns({k: F.expr(e) for k, e in HEADS.items()})
+    test = F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(4)) == 0
+    model = H.train_heads(H.training_sample(rows.where(~test), "vec_id", "embedding", list(HEADS)), "vec_id", list(HEADS))
+    out = H.predict_heads(rows.where(test), "vec_id", "embedding", model)
+    confidences = [F.round(f"{h}_confidence", 4).alias(f"{h}_confidence") for h in HEADS]
+    return out.select("vec_id", F.when(F.col("version_confidence") >= SURE_VERSION, F.col("version")).alias("version"), *[h for h in HEADS if h != "version"], *confidences)
+
+
+@query("""SELECT n_nationkey AS lookup, CASE WHEN n_nationkey % 4 = 3 THEN 'error' WHEN n_nationkey % 4 = 2 THEN 'unparsed' ELSE 'parsed' END AS status, CASE n_nationkey % 4 WHEN 0 THEN 'mark-to-base' WHEN 1 THEN 'mark-to-mark' ELSE 'other' END AS type,
+CASE WHEN n_nationkey % 4 < 2 THEN 'b' || n_nationkey END AS base, CASE WHEN n_nationkey % 4 < 2 THEN 'm' || k END AS mark,
+CASE WHEN n_nationkey % 4 < 2 THEN CASE WHEN k % 2 = 0 THEN n_nationkey * 3 ELSE 1 END - (n_nationkey + k) END::INT AS dx, CASE WHEN n_nationkey % 4 < 2 THEN CASE WHEN k % 2 = 0 THEN 7 ELSE n_regionkey END - (n_nationkey * 2 - k) END::INT AS dy
+FROM nation, range(0, 3) r(k) WHERE k = 0 OR n_nationkey % 4 < 2""")
+def q_flatten_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioning lookups to one row per base and mark with the offset of their anchors; other kinds and errors stay as rows."""
+    part = F.col("n_nationkey") % 4
+    kind = F.when(part == 0, "mark-to-base").when(part == 1, "mark-to-mark").otherwise("other")
+    known, n = part < 2, F.col("n_nationkey")
+    anchor = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    marks = F.create_map(*[c for k in range(3) for c in (F.lit(f"m{k}"), F.struct(F.lit(k % 2).alias("class"), (n + k).alias("x"), (n * 2 - k).alias("y")))])
+    bases = F.create_map(F.concat(F.lit("b"), n.cast("string")), F.array(anchor(n * 3, F.lit(7)), anchor(F.lit(1), F.col("n_regionkey"))))
+    text = F.to_json(F.array(F.struct(F.col("n_nationkey").alias("lookup"), kind.alias("type"), F.when(known, marks).alias("marks"), F.when(known, bases).alias("bases"), F.when(part == 3, "bad offset").alias("error"))))
+    return records.flatten_positions(table(spark, sf_dir, "nation").select(text.alias("t")), "t")
+
+
+@query("""WITH n AS (SELECT n_nationkey::INT AS lookup, n_nationkey % 8 AS part, n_name AS g FROM nation),
+r AS (SELECT lookup, 'single' AS type, 'parsed' AS status, g AS source, g || '.alt' AS targets FROM n WHERE part = 0
+UNION ALL SELECT lookup, 'multiple', 'parsed', g, g || ' dot' FROM n WHERE part = 1
+UNION ALL SELECT lookup, 'alternate', 'parsed', g, g || '.' || k FROM n, range(1, 4) r(k) WHERE part = 2
+UNION ALL SELECT lookup, 'ligature', 'parsed', g || ' dot', g || '_dot' FROM n WHERE part = 3
+UNION ALL SELECT lookup, 'chained' || (part - 3), 'parsed', 'a b | ' || g || ' | ' || CASE part WHEN 5 THEN 'c' ELSE '' END, '0:' || (lookup + 1) || ' 1:' || (lookup + 2) FROM n WHERE part IN (4, 5, 6)
+UNION ALL SELECT lookup, 'other', CASE WHEN lookup % 16 = 7 THEN 'error' ELSE 'unparsed' END, NULL, NULL FROM n WHERE part = 7) SELECT * FROM r""")
+def q_flatten_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitution lookups of every kind to rows of source and targets; a choice is a row for each, a chained rule one
+    row of what stands before, in and after, and the lookups that it applies."""
+    part, g, n = F.col("n_nationkey") % 8, F.col("n_name"), F.col("n_nationkey")
+    kind = F.element_at(F.array(*map(F.lit, ("single", "multiple", "alternate", "ligature", "chained1", "chained2", "chained3", "other"))), (part + 1).cast("int"))
+    only = lambda i, c: F.when(part == i, c)
+    rule = F.struct(F.array(F.lit("a"), F.lit("b")).alias("before"), F.array(g).alias("input"), F.when(part == 5, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>")).alias("after"),
+                    F.array(F.struct(F.lit(0).alias("at"), (n + 1).alias("lookup")), F.struct(F.lit(1).alias("at"), (n + 2).alias("lookup"))).alias("applies"))
+    fields = {
+        "lookup": n, "type": kind, "single": only(0, F.create_map(g, F.concat(g, F.lit(".alt")))), "multiple": only(1, F.create_map(g, F.array(g, F.lit("dot")))),
+        "alternate": only(2, F.create_map(g, F.array(*[F.concat(g, F.lit(f".{k}")) for k in (1, 2, 3)]))),
+        "ligature": only(3, F.create_map(F.concat(g, F.lit(" dot")), F.concat(g, F.lit("_dot")))), "rules": F.when(part.between(4, 6), F.array(rule)), "error": F.when(n % 16 == 7, "bad offset"),
+    }
+    text = F.to_json(F.array(F.struct(*[c.alias(k) for k, c in fields.items()])))
+    return records.flatten_substitutions(table(spark, sf_dir, "nation").select(text.alias("t")), "t")

@@ -49,31 +49,14 @@ def q_per_class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.where("ok < n").withColumn("accuracy", F.round(F.col("ok") / F.col("n"), 6))
 
 
-@query("""
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM e),
-s AS (SELECT a.vec_id, a.label, b.vec_id AS ref_id, round(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 9) AS distance
-      FROM e a JOIN p b ON a.label = b.label AND b.n <= 20 WHERE a.vec_id <> b.vec_id)
-SELECT vec_id, label, ref_id, rank, round(distance, 6) AS distance
-FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id DESC)::INT AS rank FROM s) WHERE rank <= 3""")
-def q_pool_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    pool = items.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("n <= 20")
-    pool = pool.select("label", F.col("vec_id").alias("ref_id"), F.col("embedding").alias("rv"))
-    scored = items.join(pool, "label").where("vec_id != ref_id").withColumn("distance", F.round(M.squared_l2(F.col("embedding"), F.col("rv")), 9))
-    # of equal scores the later reference comes first
-    order = W.partitionBy("vec_id").orderBy("distance", F.desc("ref_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("vec_id", "label", "ref_id", "rank", F.round("distance", 6).alias("distance"))
-
-
 @query("""
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT a.vec_id, a.label, b.vec_id AS ref_id, round(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 9) AS distance
       FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id <> b.vec_id)
 SELECT vec_id, label, ref_id, rank, round(distance, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id DESC)::INT AS rank FROM s) WHERE rank <= 3""")
-def q_pool_crossmatch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest others of the whole label. q_pool_crossmatch, as its SQL, meets the first 20 of each label only."""
+def q_pool_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest others of the whole label."""
     items = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     return M.nearest_in_pool(items, "vec_id", "label", "embedding", 3).select("vec_id", "label", "ref_id", "rank", F.round("distance", 6).alias("distance"))
 

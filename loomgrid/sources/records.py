@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +65,62 @@ def flatten_lookups(text: DataFrame, column: str) -> DataFrame:
     return rows.select("lookup", "type", status.alias("status"), F.explode_outer(every).alias("e")).select("lookup", "type", "status", "e.source", F.array_join("e.targets", " ").alias("targets"))
 
 
+SUBSTITUTIONS = (
+    "array<struct<lookup:int,type:string,single:map<string,string>,multiple:map<string,array<string>>,alternate:map<string,array<string>>,ligature:map<string,string>,"
+    "rules:array<struct<before:array<string>,input:array<string>,after:array<string>,applies:array<struct<at:int,lookup:int>>>>,error:string>>"
+)
+_PAIRS = "array<struct<source:string,targets:string>>"
+
+
+def flatten_substitutions(text: DataFrame, column: str) -> DataFrame:
+    """lookup, type, status, source, targets of substitution lookups of every kind; unknown kinds and errors stay as rows."""
+    rows = text.select(F.explode(F.from_json(column, SUBSTITUTIONS)).alias("l")).select("l.*")
+    pair = lambda source, targets: F.struct(source.alias("source"), targets.alias("targets"))
+    entries = lambda c, f: F.transform(F.map_entries(c), f)
+    chained = lambda r: pair(
+        F.array_join(F.array(*[F.array_join(r[c], " ") for c in ("before", "input", "after")]), " | "),
+        F.array_join(F.transform(r["applies"], lambda a: F.concat_ws(":", a["at"], a["lookup"])), " "),
+    )
+    kinds = [
+        entries("single", lambda e: pair(e["key"], e["value"])), entries("multiple", lambda e: pair(e["key"], F.array_join(e["value"], " "))),
+        F.flatten(entries("alternate", lambda e: F.transform(e["value"], lambda v: pair(e["key"], v)))), entries("ligature", lambda e: pair(e["key"], e["value"])), F.transform("rules", chained),
+    ]
+    every = F.concat(*[F.coalesce(k, F.array().cast(_PAIRS)) for k in kinds])
+    status = F.when(F.col("error").isNotNull(), "error").when(F.size(every) == 0, "unparsed").otherwise("parsed")
+    return rows.select("lookup", "type", status.alias("status"), F.explode_outer(every).alias("e")).select("lookup", "type", "status", "e.source", "e.targets")
+
+
+POSITIONS = "array<struct<lookup:int,type:string,marks:map<string,struct<class:int,x:int,y:int>>,bases:map<string,array<struct<x:int,y:int>>>,error:string>>"
+
+
+def flatten_positions(text: DataFrame, column: str) -> DataFrame:
+    """lookup, type, status, base, mark, dx, dy of positioning lookups: where each mark goes on each base that has an anchor of its class."""
+    rows = text.select(F.explode(F.from_json(column, POSITIONS)).alias("l")).select("l.*")
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("marks").isNull() | F.col("bases").isNull(), "unparsed").otherwise("parsed")
+    rows = rows.select("lookup", "type", status.alias("status"), F.explode_outer(F.map_entries("bases")).alias("b"), "marks")
+    rows = rows.select("lookup", "type", "status", F.col("b.key").alias("base"), F.col("b.value").alias("anchors"), F.explode_outer(F.map_entries("marks")).alias("m"))
+    anchor = F.get("anchors", F.col("m.value.class"))
+    rows = rows.where("status != 'parsed'").unionByName(rows.where("status = 'parsed'").where(anchor.isNotNull()))
+    return rows.select("lookup", "type", "status", "base", F.col("m.key").alias("mark"), (anchor["x"] - F.col("m.value.x")).alias("dx"), (anchor["y"] - F.col("m.value.y")).alias("dy"))
+
+
+def lexicon(text: DataFrame, column: str) -> DataFrame:
+    """ord, cr of JSON lexicons, an object or a list of objects with a field cr: the roots that are not empty, in order."""
+    listed, keyed = F.from_json(column, "array<struct<cr:string>>"), F.map_values(F.from_json(column, "map<string,struct<cr:string>>"))
+    values = F.when(F.trim(column).startswith("["), listed).otherwise(keyed)
+    return text.select(F.posexplode(F.filter(values, lambda v: F.length(F.coalesce(v["cr"], F.lit(""))) > 0)).alias("ord", "v")).select("ord", "v.cr")
+
+
 def cached_table(spark: SparkSession, path: str, version: int, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if it is of this version, else a newly built one, written there as Parquet."""
+    """The table at path if it is of this version and all its files can be read, else a newly built one, written there as Parquet."""
     at = f"{path}/version={version}"
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        build().write.mode("overwrite").parquet(at)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        try:
+            return spark.read.option("mergeSchema", True).parquet(at)  # which reads the foot of every file
+        except (PySparkException, Py4JJavaError):
+            pass  # a file is damaged: all is built anew
+    build().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
 
 

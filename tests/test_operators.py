@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import geometry as G
 from loomgrid.functions import text as T
 from loomgrid.operators import aggregates as A
+from loomgrid.operators import heads
 from loomgrid.operators import lookups as L
 from loomgrid.operators import matching as M
 from loomgrid.operators import raster as R
@@ -359,3 +360,33 @@ def test_classify_regions_equals_plain_code(spark):
         scores = {t: round(1 / (1 + (mean(shown[vec_id], shown[t]) + mean(shown[t], shown[vec_id])) / 2), 9) for t in first.values()}
         best = min(scores, key=lambda t: (-scores[t], t))
         assert got[vec_id]["t_id"] == best and abs(got[vec_id]["score"] - scores[best]) < 1e-6
+
+
+def test_damaged_cache_is_built_anew(spark, tmp_path):
+    build = lambda: spark.range(5).coalesce(1)
+    records.cached_table(spark, str(tmp_path), 1, build)
+    for part in (tmp_path / "version=1").glob("part-*"):
+        part.write_bytes(b"damaged")
+    for check in (tmp_path / "version=1").glob(".part-*.crc"):
+        check.unlink()
+    assert records.cached_table(spark, str(tmp_path), 1, build).count() == 5
+
+
+def test_lexicon_drops_empty_roots(spark):
+    texts = ['[{"cr": "b"}, {"cr": ""}, {"cr": null}, {"cr": "c", "x": 1}]', '{"p": {"cr": "d"}, "q": {"x": 2}}']
+    for text, want in zip(texts, (["b", "c"], ["d"]), strict=True):
+        df = spark.createDataFrame([(text,)], "t string")
+        assert [r["cr"] for r in records.lexicon(df, "t").orderBy("ord").collect()] == want
+
+
+def test_heads_learn_are_saved_and_loaded(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 12).tolist()) for i in range(400)]
+    rows = [(i, v, int(v[0] + v[1] > 0), "ab"[v[2] > v[3]]) for i, v in rows]
+    df = spark.createDataFrame(rows, "id long, g array<double>, x int, y string")
+    model = heads.train_heads(heads.training_sample(df.where("id < 300"), "id", "g", ["x", "y"]), "id", ["x", "y"])
+    heads.save_heads(spark, model, f"{tmp_path}/m")
+    got = {r["id"]: r for r in heads.predict_heads(df.where("id >= 300"), "id", "g", heads.load_heads(spark, f"{tmp_path}/m")).collect()}
+    assert len(got) == 100 and all(0.5 <= r["x_confidence"] <= 1 for r in got.values())
+    assert sum(got[i]["x"] == str(x) for i, _, x, _ in rows[300:]) > 85 and sum(got[i]["y"] == y for i, _, _, y in rows[300:]) > 85
+    assert heads.predict_heads(df.limit(0), "id", "g", model).count() == 0
