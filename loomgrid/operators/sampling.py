@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import bound
+
 MASK = 0xFFFFFFFF
-#: Fixed value: the step of the generator's counter.
+#: Fixed values of the generator: the step of its counter here, and the shifts 15, 7, 14 and the 61 in draw().
 STEP = 0x6D2B79F5
 
 
@@ -19,11 +21,14 @@ def _times(a: Column, b: Column) -> Column:
 
 
 def draw(seed: Column, i: Column) -> Column:
-    """The i-th draw, from 1, of a 32-bit counter generator, uniform in [0, 1): a pure expression without state."""
-    a = (seed.cast("long") + i.cast("long") * STEP).bitwiseAND(F.lit(MASK))
-    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    t = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+    """The i-th draw, from 1, of a 32-bit counter generator, uniform in [0, 1): a pure expression without state.
+
+    Each step's value is used several times by the next, so it is bound: else the expression doubles at each."""
+    start = (seed.cast("long") + i.cast("long") * STEP).bitwiseAND(F.lit(MASK))
+    first = lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    second = lambda t: (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(t)
+    last = lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+    return bound(bound(bound(start, first), second), last)
 
 
 def quotas(sizes: DataFrame, key: str, n: str, total: int) -> DataFrame:
