@@ -85,6 +85,11 @@ def drop_lines(text: Column, pattern: str) -> Column:
     return F.regexp_replace(kept, r",([ \t\r]*\n[ \t]*[}\]])", "$1")
 
 
+def matching_lines(text: Column, pattern: str) -> Column:
+    """The number of lines that match."""
+    return F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(pattern)))
+
+
 def read_bits(cells: Column, paper: Column, share: float) -> Column:
     """Bits of grey cells: 1 where a cell is darker than that share of the lightest cell of the paper beside them."""
     return F.transform(cells, lambda v: (v < share * F.array_max(paper)).cast("int"))

@@ -69,3 +69,51 @@ def global_split(df: DataFrame, draw_col: str, tie: str, share: float) -> DataFr
     ranked = ranked.withColumn("part", F.when(F.col("rank") <= F.col("edge.room"), "test").otherwise("train")).drop("rank")
     clear = rows.where(F.col("bin") != F.col("edge.bin")).withColumn("part", F.when(F.col("bin") < F.col("edge.bin"), "test").otherwise("train"))
     return clear.unionByName(ranked).drop("bin", "edge")
+
+
+def cover_letters(picked: Column, candidates: Column, letters: str) -> Column:
+    """A bounded list of words, changed so that it has every letter for which there is a candidate.
+
+    candidates: structs (letter, word) in the order of the letters, the word being the first of the whole pool with
+    that letter, or null. A letter that no word has takes its candidate in place of the first word of its length
+    without any of the letters, else of the last word. As no picked word has the letter then, the first word of the
+    pool that has it is always outside the picked ones, so one word a letter is all that is needed of the pool."""
+    plain = lambda w: F.translate(w, letters, "") == w
+
+    def swap(words: Column, c: Column) -> Column:
+        victims = F.transform(words, lambda w: (F.length(w) == F.length(c["word"])) & plain(w))
+        at = F.coalesce(F.nullif(F.array_position(victims, F.lit(True)), F.lit(0)), F.size(words))
+        return bound(at, lambda a: F.transform(words, lambda w, i: F.when(i + 1 == a, c["word"]).otherwise(w)))
+
+    needless = lambda words, c: c["word"].isNull() | F.exists(words, lambda w: F.contains(w, c["letter"]))
+    return F.aggregate(candidates, picked, lambda words, c: F.when(needless(words, c), words).otherwise(swap(words, c)))
+
+
+def _among(letters: str, u: Column, skip: Column | None = None) -> Column:
+    """The letter that a draw picks; skip: a position from 0 that is left out."""
+    at = F.floor(u * (len(letters) - (skip is not None)))
+    at = at if skip is None else at + (at >= skip).cast("int")
+    return F.substr(F.lit(letters), (at + 1).cast("int"), F.lit(1))
+
+
+def syllable(draws: Column, first: int, forms: list[tuple[float, str]], kinds: dict[str, str]) -> Column:
+    """A syllable of one of several forms, chosen by a draw and cumulative shares; a further draw for each letter.
+
+    A form is a pattern: a key of kinds is any of its letters, `=` the letter before it once more, and `D` a letter of
+    kind E other than the C after it (the letters of C come first in E). first: the place of the form's draw."""
+    word = F.lit("")
+    upto = 1.0
+    for share, pattern in reversed(forms):
+        letters: list[Column] = []
+        for k, p in enumerate(pattern):
+            u = F.get(draws, F.lit(first + 1 + k))
+            if p == "=":
+                letters.append(letters[-1])
+            elif p == "D":
+                letters.append(_among(kinds["E"], u, F.floor(F.get(draws, F.lit(first + 2 + k)) * len(kinds["C"]))))
+            else:
+                letters.append(_among(kinds[p], u))
+        text = F.concat(*letters)
+        word = text if upto == 1.0 else F.when(F.get(draws, F.lit(first)) < upto, text).otherwise(word)
+        upto = round(upto - share, 9)
+    return word

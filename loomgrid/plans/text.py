@@ -46,9 +46,9 @@ def q_regex_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", status.alias("status"), F.length(fixed).alias("size"))
 
 
-@query(r"""SELECT page_id, len(string_split(t, chr(10)))::INT AS lines, length(t)::INT AS size FROM (SELECT page_id, array_to_string(list_filter(string_split(html, chr(10)), lambda x: NOT regexp_matches(x, '^\s*<(li|p)\b')), chr(10)) AS t FROM pages)""")
+@query(r"""SELECT page_id, len(string_split(t, chr(10)))::INT AS lines, length(t)::INT AS size FROM (SELECT page_id, array_to_string(list_filter(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)), lambda x: NOT regexp_matches(x, '^\s*<(li|p)\b')), chr(10)) AS t FROM pages)""")
 def q_drop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.drop_lines(F.col("html"), r"^\s*<(li|p)\b")
+    t = T.drop_lines(F.replace(F.col("html"), F.lit("><"), F.lit(">\n<")), r"^\s*<(li|p)\b")
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.split(t, "\n")).alias("lines"), F.length(t).alias("size"))
 
 
