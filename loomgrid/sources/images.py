@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 IMAGE = "path string, width int, height int, data binary, ok boolean, reason string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+#: Fixed values of the file format: channels of each colour type, and the interlace passes as x and y of the first
+#: pixel and the steps from pixel to pixel.
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def encode_png(rgba: np.ndarray) -> bytes:
@@ -27,41 +30,91 @@ def encode_png(rgba: np.ndarray) -> bytes:
     return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of lines whose first byte names the filter of the others; step: bytes from a pixel to the one before."""
+    out = np.zeros((len(rows), rows.shape[1] - 1), dtype=np.uint8)
+    above = np.zeros(out.shape[1], dtype=np.uint8)
+    for y, (kind, line) in enumerate(zip(rows[:, 0], rows[:, 1:], strict=True)):
+        if kind == 0:
+            out[y] = line
+        elif kind == 1:
+            for k in range(step):
+                out[y, k::step] = np.cumsum(line[k::step], dtype=np.uint8)
+        elif kind == 2:
+            out[y] = line + above
+        elif kind in (3, 4):
+            own = [0] * step + line.tolist()
+            up = [0] * step + above.tolist()
+            for x in range(step, len(own)):
+                a, b, c = own[x - step], up[x], up[x - step]
+                guess = (a + b) // 2 if kind == 3 else min((a, b, c), key=lambda v: abs(a + b - c - v))
+                own[x] = (own[x] + guess) & 255
+            out[y] = own[step:]
+        else:
+            raise ValueError("unknown filter")
+        above = out[y]
+    return out
+
+
+def _samples(body: bytes, at: int, width: int, height: int, depth: int, channels: int) -> tuple[np.ndarray, int]:
+    """Samples (height, width, channel) of an image or of one pass of it, and where its bytes end."""
+    line, step = (width * channels * depth + 7) // 8, max(1, channels * depth // 8)
+    end = at + height * (line + 1)
+    if end > len(body):
+        raise ValueError("too few bytes")
+    raw = _unfiltered(np.frombuffer(body, np.uint8, end - at, at).reshape(height, line + 1), step)
+    if depth == 16:
+        values = raw.view(">u2").astype(np.uint16)
+    elif depth == 8:
+        values = raw
+    else:
+        places = np.arange(8 // depth - 1, -1, -1, dtype=np.uint8) * depth
+        values = ((raw[:, :, None] >> places) & ((1 << depth) - 1)).reshape(height, -1)
+    return values[:, : width * channels].reshape(height, width, channels), end
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Array of shape (height, width, 4); 8 bits a channel, not interlaced, without palette."""
+    """Array of shape (height, width, 4), 8 bits a channel, of a PNG of any colour type, depth and interlacing.
+
+    Samples of 16 bits keep their upper half, those of fewer than 8 are spread over the whole range; the colours and
+    opacities of a palette, or the one transparent colour, become RGBA."""
     if data[:8] != _SIGNATURE:
         raise ValueError("not a PNG")
-    at, body, head = 8, b"", None
+    at, body, head, palette, clear = 8, [], None, None, b""
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = part
         elif kind == b"IDAT":
-            body += data[at + 8 : at + 8 + size]
+            body.append(part)
         at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in _CHANNELS or head[6]:
+    if head is None or head[3] not in _CHANNELS or head[2] not in (1, 2, 4, 8, 16) or (head[3] == 3 and palette is None):
         raise ValueError("unsupported kind of PNG")
-    width, height, n = head[0], head[1], _CHANNELS[head[3]]
-    rows = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(height, width * n + 1)
-    out = np.zeros((height, width * n), dtype=np.int64)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        up = out[y - 1] if y else np.zeros_like(line)
-        if kind in (0, 2):
-            out[y] = (line + (up if kind == 2 else 0)) & 255
-            continue
-        for x in range(len(line)):
-            a, b, c = out[y, x - n] if x >= n else 0, up[x], up[x - n] if x >= n else 0
-            if kind == 4:
-                p = a + b - c
-                guess = min((a, b, c), key=lambda v: abs(p - v))
-            else:
-                guess = a if kind == 1 else (a + b) // 2
-            out[y, x] = (line[x] + guess) & 255
-    pixels = out.reshape(height, width, n).astype(np.uint8)
-    colour = pixels[:, :, :3] if n >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2)
-    alpha = pixels[:, :, -1:] if n in (2, 4) else np.full((height, width, 1), 255, dtype=np.uint8)
-    return np.concatenate((colour, alpha), axis=2)
+    width, height, depth, colours, interlaced = head[0], head[1], head[2], head[3], head[6]
+    channels, raw = _CHANNELS[colours], zlib.decompress(b"".join(body))
+    if interlaced:
+        pixels, at = np.zeros((height, width, channels), dtype=np.uint16), 0
+        for x, y, dx, dy in _PASSES:
+            if x < width and y < height:
+                pixels[y::dy, x::dx], at = _samples(raw, at, -(-(width - x) // dx), -(-(height - y) // dy), depth, channels)
+    else:
+        pixels, _ = _samples(raw, 0, width, height, depth, channels)
+    opaque = np.full((height, width, 1), 255, dtype=np.uint8)
+    if colours == 3:
+        if pixels.size and pixels.max() >= len(palette):
+            raise ValueError("colour outside the palette")
+        alphas = np.concatenate((np.frombuffer(clear, np.uint8), np.full(256, 255, dtype=np.uint8)))
+        return np.concatenate((palette[pixels[:, :, 0]], alphas[pixels]), axis=2)
+    if clear and colours in (0, 2):
+        opaque[(pixels == np.frombuffer(clear, ">u2")[:channels]).all(axis=2)] = 0
+    pixels = (pixels >> 8 if depth == 16 else pixels * (255 // ((1 << depth) - 1))).astype(np.uint8)
+    colour = pixels[:, :, :3] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2)
+    return np.concatenate((colour, pixels[:, :, -1:] if channels in (2, 4) else opaque), axis=2)
 
 
 def jpeg_orientation(data: bytes) -> int:

@@ -211,6 +211,94 @@ def test_png_filters_and_bad_files(spark, tmp_path):
     assert rows["a.jpg"]["ok"] and rows["a.jpg"]["width"] == 4 and rows["b.png"]["reason"].endswith("6") and not rows["c.png"]["ok"]
 
 
+def png_of(pixels, depth, colours, interlaced, *more):
+    """A PNG, without filters, of samples (height, width, channel), written bit by bit."""
+    import struct
+    import zlib
+
+    def part(image):
+        lines = []
+        for row in image if image.size else []:
+            bits = "".join(format(int(v), f"0{depth}b") for v in row.reshape(-1))
+            bits += "0" * (-len(bits) % 8)
+            lines.append(b"\0" + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)))
+        return b"".join(lines)
+
+    grid = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]  # the pass of each pixel of a block
+    height, width = pixels.shape[:2]
+    body = part(pixels)
+    if interlaced:
+        body = b""
+        for n in "1234567":
+            rows = [[pixels[y, x] for x in range(width) if grid[y % 8][x % 8] == n] for y in range(height)]
+            body += part(np.array([r for r in rows if r]))
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", width, height, depth, colours, 0, 0, interlaced)
+    return images._SIGNATURE + chunk(b"IHDR", head) + b"".join(chunk(k, d) for k, d in more) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize(("depth", "colours"), [(d, 0) for d in (1, 2, 4, 8, 16)] + [(d, 3) for d in (1, 2, 4, 8)] + [(d, c) for d in (8, 16) for c in (2, 4, 6)])
+@pytest.mark.parametrize("interlaced", [0, 1])
+def test_png_of_every_kind(depth, colours, interlaced):
+    rng = np.random.default_rng(depth * 10 + colours)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colours]
+    for width, height in ((1, 1), (3, 2), (8, 8), (13, 11)):
+        pixels = rng.integers(0, 2**depth, (height, width, channels))
+        palette, alphas = rng.integers(0, 256, (2**min(depth, 8), 3), dtype=np.uint8), rng.integers(0, 256, 2, dtype=np.uint8)
+        more = [(b"PLTE", palette.tobytes()), (b"tRNS", alphas.tobytes())] if colours == 3 else []
+        if colours in (0, 2):
+            more = [(b"tRNS", pixels[0, 0].astype(">u2").tobytes())]
+        got = images.decode_png(png_of(pixels, depth, colours, interlaced, *more))
+        for y in range(height):
+            for x in range(width):
+                v = [int(c) for c in pixels[y, x]]
+                as_byte = [c // 256 if depth == 16 else c * 255 // (2**depth - 1) for c in v]
+                want = {
+                    0: lambda v=v, b=as_byte: [b[0]] * 3 + [0 if v == list(pixels[0, 0]) else 255], 2: lambda v=v, b=as_byte: b + [0 if v == list(pixels[0, 0]) else 255],
+                    3: lambda v=v: [*palette[v[0]], alphas[v[0]] if v[0] < 2 else 255], 4: lambda b=as_byte: [b[0]] * 3 + [b[1]], 6: lambda b=as_byte: b,
+                }[colours]()
+                assert list(got[y, x]) == want
+
+
+def test_png_as_another_decoder_reads_it(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    palette = rng.integers(0, 256, (16, 3), dtype=np.uint8)
+    (tmp_path / "a.png").write_bytes(png_of(rng.integers(0, 16, (9, 14, 1)), 4, 3, 1, (b"PLTE", palette.tobytes())))
+    (tmp_path / "b.png").write_bytes(png_of(rng.integers(0, 256, (10, 9, 3)), 8, 2, 1))
+    ours = {r["path"][-5:]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect():
+        mine = ours[r["origin"][-5:]]
+        theirs = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])[:, :, 2::-1]
+        assert (np.frombuffer(mine["data"], np.uint8).reshape(r["height"], r["width"], 4)[:, :, :3] == theirs).all()
+    import zlib
+
+    for bad in (b"", images._SIGNATURE, png_of(np.zeros((2, 2, 1)), 8, 3, 0), png_of(np.full((2, 2, 1), 3), 8, 3, 0, (b"PLTE", b"abc")), png_of(np.zeros((2, 2, 3)), 8, 2, 0)[:40]):
+        with pytest.raises((ValueError, zlib.error)):
+            images.decode_png(bad)
+
+
+def test_words_that_cover_letters(spark):
+    from loomgrid.operators import sampling as S
+
+    def plain(picked, pool, letters):
+        picked = list(picked)
+        for c in letters:
+            found = [w for w in pool if c in w and w not in picked]
+            if any(c in w for w in picked) or not found:
+                continue
+            free = [i for i, w in enumerate(picked) if len(w) == len(found[0]) and not set(w) & set(letters)]
+            picked[free[0] if free else -1] = found[0]
+        return picked
+
+    rng = np.random.default_rng(2)
+    for _ in range(8):
+        pool = list(dict.fromkeys("".join(rng.choice(list("aeioutsnqzx"), rng.integers(2, 5))) for _ in range(40)))
+        picked, letters = [w for w in pool if not set(w) & set("qz")][:6], "qzxk"
+        pairs = [(c, next((w for w in pool if c in w), None)) for c in letters]
+        df = spark.createDataFrame([(picked, pairs)], "p array<string>, c array<struct<letter: string, word: string>>")
+        assert df.select(S.cover_letters(F.col("p"), F.col("c"), letters)).first()[0] == plain(picked, pool, letters)
+
+
 def test_cached_table_and_sinks(spark, tmp_path):
     calls = []
     build = lambda: calls.append(1) or spark.range(5)
