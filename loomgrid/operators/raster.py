@@ -161,6 +161,24 @@ def box_blurred(values: Column, width: int, height: int, radius: int) -> Column:
     return bound(bound(values, lambda own: once(own, True)), lambda own: once(own, False))
 
 
+def component_labels(ink: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """The position of its component's first cell for each cell of ink (mask, y, x), all masks at once."""
+    steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (diagonal or not (dx and dy))]
+    n, height, width = ink.shape
+    none = height * width
+    own = np.where(ink, np.arange(none).reshape(height, width), none)
+    while True:
+        framed = np.pad(own, ((0, 0), (1, 1), (1, 1)), constant_values=none)
+        near = [framed[:, 1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dx, dy in steps]
+        new = np.where(ink, np.minimum.reduce([own, *near]), none)
+        # each cell then follows the label of the cell that its label names
+        flat = np.concatenate((new.reshape(n, none), np.full((n, 1), none)), axis=1)
+        new = np.take_along_axis(flat, new.reshape(n, none), axis=1).reshape(own.shape)
+        if (new == own).all():
+            return own
+        own = new
+
+
 COMPONENT = "id long, component int, x int, y int, w int, h int, pixels int"
 
 
@@ -168,24 +186,6 @@ def components(df: DataFrame, id_col: str, mask_col: str, width: int, least: int
     """Connected ink of each mask: number (in order of the first cell), box and number of cells; small ones go.
 
     Labels spread over all masks of an Arrow batch at once, and nothing is shuffled."""
-    steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (diagonal or not (dx and dy))]
-
-    def labelled(ink: np.ndarray) -> np.ndarray:
-        """The position of its component's first cell for each cell of ink (mask, y, x), all masks at once."""
-        n, height, _ = ink.shape
-        none = height * width
-        own = np.where(ink, np.arange(none).reshape(height, width), none)
-        while True:
-            framed = np.pad(own, ((0, 0), (1, 1), (1, 1)), constant_values=none)
-            near = [framed[:, 1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dx, dy in steps]
-            new = np.where(ink, np.minimum.reduce([own, *near]), none)
-            # each cell then follows the label of the cell that its label names
-            flat = np.concatenate((new.reshape(n, none), np.full((n, 1), none)), axis=1)
-            new = np.take_along_axis(flat, new.reshape(n, none), axis=1).reshape(own.shape)
-            if (new == own).all():
-                return own
-            own = new
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
@@ -193,7 +193,7 @@ def components(df: DataFrame, id_col: str, mask_col: str, width: int, least: int
                 part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), int(size)))
                 ink = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1, width) > 0
                 row, y, x = np.nonzero(ink)
-                key = row * int(size) + labelled(ink)[row, y, x]
+                key = row * int(size) + component_labels(ink, diagonal)[row, y, x]
                 found, at, pixels = np.unique(key, return_inverse=True, return_counts=True)
                 low, high = np.full((2, len(found)), size), np.full((2, len(found)), -1)
                 for d, place in enumerate((x, y)):

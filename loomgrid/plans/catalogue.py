@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, composites, decoders, flows, lookups, matching, raster, sampling, sequences, small, text  # noqa: F401
+from . import aggregates, composites, decoders, flows, lookups, matching, raster, sampling, sequences, sheets, small, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..operators.scanning import homographies, warped
 from ..operators.sequences import interval_groups
 from ..session import ship
 from .registry import query, table
@@ -146,34 +147,6 @@ def q_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", (crossings % 2 == 1).alias("inside"))
 
 
-def homographies(to: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The 3 x 3 projective maps that take four corners to four points each, from an 8 x 8 system a row."""
-    a = np.zeros((len(to), 8, 8))
-    for i, (x, y) in enumerate(corners):
-        u, v = to[:, i, 0], to[:, i, 1]
-        a[:, 2 * i, :3], a[:, 2 * i + 1, 3:6] = (x, y, 1), (x, y, 1)
-        a[:, 2 * i, 6], a[:, 2 * i, 7] = -x * u, -y * u
-        a[:, 2 * i + 1, 6], a[:, 2 * i + 1, 7] = -x * v, -y * v
-    h = np.linalg.solve(a, to.reshape(-1, 8, 1))[:, :, 0]
-    return np.concatenate((h, np.ones((len(h), 1))), axis=1).reshape(-1, 3, 3)
-
-
-def warped(images: np.ndarray, maps: np.ndarray, white: float = 255.0) -> np.ndarray:
-    """Images (n, height, width) read at the places that each map gives to the cells, bilinearly; white outside."""
-    n, height, width = images.shape
-    y, x = np.divmod(np.arange(height * width), width)
-    at = maps @ np.stack((x, y, np.ones(height * width)))
-    px, py = at[:, 0] / at[:, 2], at[:, 1] / at[:, 2]
-    left, upper = np.floor(px).astype(int), np.floor(py).astype(int)
-    out = np.zeros((n, height * width))
-    for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        sx, sy = left + dx, upper + dy
-        inside = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
-        value = np.where(inside, images[np.arange(n)[:, None], np.clip(sy, 0, height - 1), np.clip(sx, 0, width - 1)], white)
-        out += value * np.where(dx, px - left, 1 - px + left) * np.where(dy, py - upper, 1 - py + upper)
-    return out.reshape(images.shape)
-
-
 CORNERS = np.array([(0, 0), (7, 0), (7, 7), (0, 7)], dtype=float)
 
 

@@ -277,6 +277,60 @@ def test_png_as_another_decoder_reads_it(spark, tmp_path):
             images.decode_png(bad)
 
 
+def test_sheets_are_read_back(spark):
+    from loomgrid.plans import sheets as P
+
+    rows = {r["vec_id"]: r for r in P.q_sheet_reading(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    for v, r in rows.items():
+        torn = v % 40 == 39
+        assert (r["status"], r["cells"]) == (("no corners", 0) if torn else ("read", 3))
+        assert r["sheet"] == (None if torn else v % 8 or None)
+    read = [r for r in rows.values() if r["cells"]]
+    assert sum(r["ok"] for r in read) >= 0.97 * sum(r["cells"] for r in read)
+
+
+def test_parts_of_scanning(spark):
+    from loomgrid.operators import scanning as C
+    from loomgrid.plans import sheets as P
+
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        grey = rng.integers(0, 256, (9, 11)).astype(float)
+        flat = [int(v) for v in grey.ravel()]
+
+        def between(t, flat=flat):
+            low, high = [v for v in flat if v <= t], [v for v in flat if v > t]
+            return len(low) * len(high) * (sum(low) / len(low) - sum(high) / len(high)) ** 2 if low and high else 0
+
+        assert between(C.otsu_cut(grey)) == pytest.approx(max(map(between, range(256))))
+        near = lambda y, x, grey=grey: grey[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].mean()
+        level = np.array([[np.floor(min(255, max(0, grey[y, x] - near(y, x) + 255))) for x in range(11)] for y in range(9)])
+        assert (C.levelled_ink(grey, 2) == (level <= C.otsu_cut(level))).all()
+        mask = rng.integers(0, 2, (8, 8))
+        assert C.packed(mask > 0) & (2**64 - 1) == int("".join(map(str, mask.ravel())), 2)
+    assert C.otsu_cut(np.full((3, 3), 7.0)) == -1 and not C.squared(C.levelled_ink(np.full((3, 3), 7.0), 1), 8).any()
+    # corners found on a skewed page lie where the skew puts them, however the page is turned
+    page = P.draw(1, np.zeros(64), {})
+    marks = np.array(P.LAYOUT.marks) + P.AROUND
+    assert np.abs(C.corner_marks(page) - marks).max() <= 1
+    upside = C.corner_marks(page[::-1, ::-1])
+    assert np.abs(upside - (np.array(page.shape)[::-1] - 1 - marks)).max() <= 1
+    bad = [(1, 4, [1.0] * 16), (2, 4, [1.0] * 15), (3, 0, [1.0]), (4, 4, []), (5, 4, None), (6, None, [1.0]), (7, 2, [1.0, float("nan")] * 2), (None, 3, None)]
+    captures = spark.createDataFrame(bad, "id long, width int, grey array<double>")
+    sheets = C.straightened(captures, P.LAYOUT).withColumn("sheet", C.sheet_number(F.col("grey"), P.LAYOUT))
+    assert all(r["grey"] is None and r["reason"] and r["sheet"] is None for r in sheets.collect())
+    cells = C.cell_bits(C.with_cells(sheets, P.manifests(spark)), P.LAYOUT, 1, 3).collect()
+    assert len(cells) == len(bad) and all(c["index"] is None and c["reason"] for c in cells)
+    # a cell that leaves the sheet, and a number that no manifest has
+    size = P.LAYOUT.width * P.LAYOUT.height
+    one = spark.createDataFrame([(1, [255.0] * size, 9, None), (2, [255.0] * size, 3, None)], "id long, grey array<double>, sheet int, reason string")
+    only = spark.createDataFrame([(3, [(0, 120, 90, 20, 20, "x"), (1, 900, 0, 5, 5, "y")])], "sheet int, cells array<struct<index: int, x: int, y: int, w: int, h: int, text: string>>")
+    got = sorted((r["id"], r["index"], r["bits"]) for r in C.cell_bits(C.with_cells(one, only), P.LAYOUT, 1, 3).collect() if r["index"] is not None)
+    assert got == [(2, 0, 0), (2, 1, 0)]
+    assert C.cell_bits(C.with_cells(one.limit(0), only), P.LAYOUT, 1, 3).count() == 0
+
+
 def test_words_that_cover_letters(spark):
     from loomgrid.operators import sampling as S
 
