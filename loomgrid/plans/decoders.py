@@ -89,32 +89,47 @@ def q_classify_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("id").alias("vec_id"), "t_id", F.col("t_label").alias("predicted"), F.round("score", 6).alias("score"))
 
 
-MANIFEST = {
-    "canvas": 8, "seed": 1, "classes": [{"id": "a", "label": "x", "family": "f"}],
-    "samples": [
-        {"file": f"{i}.png", "label": "xyz"[i % 3], "class": f"c-{i % 3}", "clean": i % 2 == 0, "aug": {"scale": 1.0 + i / 8, "rotateDeg": 0.0, "dx": 0.0, "dy": 0.0}} for i in range(9)
-    ],
-}
-
-
-@query("SELECT i::VARCHAR || '.png' AS file, substr('xyz', (i % 3 + 1)::INT, 1) AS label, (i % 3)::INT AS label_index, 'c-' || (i % 3)::VARCHAR AS class, 1 + i / 8::DOUBLE AS scale FROM range(0, 9) t(i) WHERE i % 2 = 0")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS label, l_quantity > 25 AS clean, 1 + l_discount AS scale FROM lineitem),
+k AS (SELECT l_orderkey, label, row_number() OVER (PARTITION BY l_orderkey ORDER BY label) - 1 AS label_index FROM (SELECT DISTINCT l_orderkey, label FROM l))
+SELECT l_orderkey || '/' || l_linenumber || '.png' AS file, label, label_index::INT AS label_index, 'c-' || label AS class, scale FROM l JOIN k USING (l_orderkey, label) WHERE clean""")
 def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean samples of a dataset manifest with the index of their label."""
-    m = spark.createDataFrame([(json.dumps(MANIFEST),)], "j string").select(F.from_json("j", records.DATASET).alias("m")).select("m.*")
+    """Clean samples of dataset manifests, one JSON document an order, with the index of each label in its manifest."""
+    label = F.concat("l_returnflag", "l_linestatus")
+    aug = F.struct((1 + F.col("l_discount")).alias("scale"))
+    sample = F.struct(F.concat_ws("/", "l_orderkey", F.concat(F.col("l_linenumber").cast("string"), F.lit(".png"))).alias("file"), label.alias("label"), F.concat(F.lit("c-"), label).alias("class"), (F.col("l_quantity") > 25).alias("clean"), aug.alias("aug"))
+    # an order has few lines
+    text = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.lit(8).alias("canvas"), F.collect_list(sample).alias("samples"))).alias("j"))
+    m = text.select(F.from_json("j", records.DATASET).alias("m")).select("m.*")
     return records.manifest_samples(m, clean_only=True).select("file", "label", F.col("label_index").cast("int").alias("label_index"), "class", "aug.scale")
 
 
+@query("""SELECT l_orderkey::INT AS sheet, l_linenumber::INT AS place, ((l_linenumber - 1) // 3)::INT AS "row", ((l_linenumber - 1) % 3)::INT AS col, l_returnflag AS text, ((l_linenumber - 1) % 3 * 100)::INT AS x, ((l_linenumber - 1) // 3 * 80)::INT AS y FROM lineitem""")
+def q_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of capture manifests, one JSON document an order."""
+    at = F.col("l_linenumber") - 1
+    row, col = F.floor(at / 3).cast("int"), at % 3
+    box = F.struct((col * 100).alias("x"), (row * 80).alias("y"), F.lit(90).alias("w"), F.lit(70).alias("h"))
+    cell = F.struct(F.col("l_linenumber").alias("index"), row.alias("row"), col.alias("col"), F.col("l_returnflag").alias("text"), box.alias("box"))
+    text = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.col("l_orderkey").alias("sheetId"), F.collect_list(cell).alias("cells"))).alias("j"))
+    cells = records.sheet_cells(text.select(F.from_json("j", records.SHEET).alias("m")).select("m.*"))
+    return cells.select(F.col("sheetId").alias("sheet"), F.col("index").alias("place"), "row", "col", "text", "box.x", "box.y")
+
+
 @query("SELECT * FROM (VALUES (0, 'single', 'parsed', 'a', 'b'), (0, 'single', 'parsed', 'c', 'd'), (1, 'ligature', 'parsed', 'ff', 'f f'), (2, 'chained', 'unparsed', NULL, NULL), (3, 'single', 'error', NULL, NULL)) t(lookup, type, status, source, targets)")
 def q_flatten_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = json.dumps([{"lookup": 0, "type": "single", "single": {"a": "b", "c": "d"}}, {"lookup": 1, "type": "ligature", "many": {"ff": ["f", "f"]}}, {"lookup": 2, "type": "chained"}, {"lookup": 3, "type": "single", "error": "bad"}])
     return records.flatten_lookups(spark.createDataFrame([(text,)], "j string"), "j")
 
 
-@query("SELECT * FROM (VALUES (97, 'a'), (61696, 'one'), (61697, 'two'), (98, 'b')) t(cp, name)")
+@query("""SELECT (61696 + c_custkey)::INT AS cp, c_name AS name FROM customer UNION ALL SELECT (97 + c_custkey % 26)::INT, 'letter' FROM customer""")
 def q_code_point_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both dialects of a code point map."""
-    rows = [(json.dumps({"0x61": "a", "F100": "one"}),), (json.dumps([{"codepoint": "U+F101", "name": "two"}, {"codepoint": "62", "name": "b"}]),)]
-    return records.code_points(spark.createDataFrame(rows, "j string"), "j")
+    """Code point maps in both dialects, one JSON document a customer: objects from hex to name, and lists of objects."""
+    high, low, name = F.hex(61696 + F.col("c_custkey")), F.hex(97 + F.col("c_custkey") % 26), F.col("c_name")
+    as_map = F.to_json(F.create_map(F.concat(F.lit("0x"), high), name, low, F.lit("letter")))
+    item = lambda point, n: F.struct(point.alias("codepoint"), n.alias("name"))
+    as_list = F.to_json(F.array(item(F.concat(F.lit("U+"), high), name), item(low, F.lit("letter"))))
+    text = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, as_map).otherwise(as_list).alias("j"))
+    return records.code_points(text, "j")
 
 
 @query("""WITH c AS (SELECT doc_id, source, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id))

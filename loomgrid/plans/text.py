@@ -84,8 +84,11 @@ def q_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(luma, 6).alias("luma"), F.round((r + g + b) / 3, 6).alias("grey"), F.round(1 - (r + g + b) / 765, 6).alias("ink"), (luma < 128).alias("dark"))
 
 
-@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'jpeg' WHEN vec_id % 3 = 1 THEN 'png' ELSE 'unknown' END AS format, (vec_id % 30) // 5 AS "row", vec_id % 5 AS col FROM embeddings""")
+@query("""SELECT vec_id, CASE WHEN embedding[1] > 0.1 THEN 'jpeg' WHEN embedding[1] < -0.1 THEN 'png' ELSE 'unknown' END AS format, (vec_id % 30) // 5 AS "row", vec_id % 5 AS col FROM embeddings""")
 def q_sniff_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format by first bytes of a data URL, and the place of a cell in a grid of five columns."""
-    url = F.when(F.col("vec_id") % 3 == 0, "data:image/x;base64,/9j/4AAQ").when(F.col("vec_id") % 3 == 1, "iVBORw0KGgo=").otherwise("R0lGODlh")
+    """Format by first bytes of data URLs with and without a head, and the place of a cell in a grid of five columns."""
+    first = F.get("embedding", F.lit(0))
+    start = F.when(first > 0.1, "FFD8FF").when(first < -0.1, "89504E470D0A1A0A").otherwise("474946")
+    body = F.base64(F.unhex(F.concat(start, F.lpad(F.hex("vec_id"), 16, "0"))))
+    url = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("data:image/x;base64,"), body)).otherwise(body)
     return table(spark, sf_dir, "embeddings").select("vec_id", T.image_format(T.data_url(url)).alias("format"), F.floor(F.col("vec_id") % 30 / 5).alias("row"), (F.col("vec_id") % 5).alias("col"))
