@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import from_bits
 from ..session import ship
-from .common import if_small
+from .common import if_small, image_batches, slices
 from .raster import component_labels
 
 #: Fixed values of corner marks: least share of the image, least fill, bounds of width by height and of the size by
@@ -126,7 +126,8 @@ def straightened(captures: DataFrame, layout: Layout) -> DataFrame:
         return warped(seen[None], to_image, size=(layout.height, layout.width)).ravel()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        # a batch of a thousand images would be held several times over
+        for batch in slices(batches, 8 * layout.width * layout.height):
             rows = []
             for r in batch.itertuples(index=False):
                 try:
@@ -135,7 +136,7 @@ def straightened(captures: DataFrame, layout: Layout) -> DataFrame:
                     rows.append((r.id, None, str(problem)))
             yield pd.DataFrame(rows, columns=["id", "grey", "reason"])
 
-    ship(captures.sparkSession)
+    image_batches(ship(captures.sparkSession))
     return captures.select("id", "width", "grey").mapInPandas(run, "id long, grey array<double>, reason string")
 
 
@@ -222,5 +223,6 @@ def cell_bits(sheets: DataFrame, layout: Layout, margin: int, radius: int) -> Da
                 rows += [(*head, c["index"], c["text"], bits(grey, c)) for c in r.cells]
             yield pd.DataFrame(rows, columns=["id", "sheet", "reason", "index", "text", "bits"], dtype=object)
 
+    image_batches(sheets.sparkSession)
     ready = sheets.select("id", F.col("sheet").cast("long").alias("sheet"), "grey", "cells", "reason")
     return ready.mapInPandas(run, "id long, sheet long, reason string, index int, text string, bits long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import decoding as D
 from ..operators import matching as M
 from ..operators import scanning as C
-from ..operators.common import if_small
+from ..operators.common import slices, spread
 from ..session import ship
 from .raster import SIDE
 from .registry import query, table
@@ -66,12 +66,12 @@ def photographs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int,
     glyphs = {r["label"]: np.array(r["mask"]) for r in M.templates_first(items.where("label BETWEEN 0 AND 9"), "label", "vec_id").collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, 8 * (LAYOUT.width + 2 * AROUND) * (LAYOUT.height + 2 * AROUND)):
             photos = [draw(v, np.asarray(e, dtype=float), glyphs) for v, e in zip(batch["vec_id"], batch["embedding"], strict=True)]
             yield pd.DataFrame({"id": batch["vec_id"], "width": [p.shape[1] for p in photos], "grey": [p.ravel() for p in photos]})
 
     ship(spark)
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "id long, width int, grey array<double>"), glyphs
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).mapInPandas(run, "id long, width int, grey array<double>"), glyphs
 
 
 def manifests(spark: SparkSession) -> DataFrame:

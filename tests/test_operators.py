@@ -290,6 +290,27 @@ def test_sheets_are_read_back(spark):
     assert sum(r["ok"] for r in read) >= 0.97 * sum(r["cells"] for r in read)
 
 
+def test_images_are_handed_on_a_few_at_a_time(spark, monkeypatch):
+    """Tables of small rows fill a batch with thousands; the images made of them stay within a bound."""
+    import pandas as pd
+
+    from loomgrid.operators import scanning as C
+    from loomgrid.plans import sheets as P
+
+    runs = []
+    whole = type(spark.range(0)).mapInPandas
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, f, *a, **b: runs.append(f) or whole(self, f, *a, **b))
+    photos, _ = P.photographs(spark, "/root/testdata/sf0.001")
+    C.straightened(photos, P.LAYOUT)
+    draw, straighten = runs
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").toPandas().head(300)
+    drawn = list(draw(iter([vectors])))
+    straight = list(straighten(iter([pd.concat(drawn)])))
+    for parts in (drawn, straight):
+        assert [v for p in parts for v in p["id"]] == vectors["vec_id"].tolist()
+        assert max(sum(8 * len(g) for g in p["grey"] if g is not None) for p in parts) <= 8 << 20
+
+
 def test_parts_of_scanning(spark):
     from loomgrid.operators import scanning as C
     from loomgrid.plans import sheets as P
