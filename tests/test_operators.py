@@ -411,6 +411,48 @@ def test_nearest_in_pool_meets_the_whole_pool(spark):
         assert {(r["vec_id"], r["ref_id"], r["rank"], r["distance"]) for r in got} == want
 
 
+def test_pool_crossmatch_of_odd_vectors_is_as_sql(spark, tmp_path):
+    """Lacking and non-finite components, vectors too short and too long, copies, near copies, halves in the last digit."""
+    import duckdb
+
+    from loomgrid.plans import matching as P
+    from loomgrid.plans.registry import ORACLE_SQL
+
+    rng = random.Random(7)
+    some = lambda n=64: [rng.uniform(-1, 1) for _ in range(n)]
+    base, nan, inf = some(), float("nan"), float("inf")
+    vectors = [None, None, [], some(3), some(70), [None] * 64, [None] + some(63), some(63) + [None], [nan] + some(63), [nan] * 64, [inf] + some(63), [-inf] + some(63), [1e30] * 64]
+    vectors += [base] * 9 + [[x + rng.uniform(0, 3e-5) for x in base] for _ in range(9)] + [[x * 1e6 for x in some()] for _ in range(5)]
+    vectors += [[rng.randrange(40) / 32 for _ in range(64)] for _ in range(15)] + [some() for _ in range(20)]
+    rows = [(i, i // 3 % 2 if pool is None else pool, v) for pool in (None, 5) for i, v in enumerate(vectors, 0 if pool is None else 500)]
+    rows += [(1000, 7, base), (1001, None, base), (None, 5, base), (1002, 8, base), (1003, 8, None)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT vec_id, label, ref_id, rank, distance FROM ({ORACLE_SQL['q_pool_crossmatch']})").fetchall()
+    got = [tuple(r) for r in P.q_pool_crossmatch(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_nearest_of_large_blocks(spark):
+    """Two blocks of some thousand vectors, many alike, against a plain matrix of all distances."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(2500, 16)).round(1)
+    vectors[::5] = vectors[0]
+    ids = rng.permutation(2500)
+    for refs in (slice(0, 2500), slice(1200, 2500), slice(5, 7)):
+        lists = [pa.array(list(v)) for v in (vectors[:1500], vectors[refs])]
+        item, ref, far, none = M.nearest_of_block(ids[:1500], lists[0], ids[refs], lists[1], 3)
+        plain = sum((vectors[:1500, None, d] - vectors[None, refs, d]) ** 2 for d in range(16)).round(9)
+        plain[ids[:1500, None] == ids[refs]] = np.inf
+        order = np.argsort(plain - ids[refs] * 1e-13, axis=1, kind="stable")
+        want = [(i, ids[refs][j], plain[i, j]) for i in range(1500) for j in order[i, :3] if j < plain.shape[1] and plain[i, j] < np.inf]
+        assert not none.any() and sorted(zip(item, ref)) == sorted((i, r) for i, r, _ in want)
+        assert sorted(far) == pytest.approx(sorted(d for _, _, d in want))
+
+
 def test_jpeg_is_decoded_and_turned(spark, tmp_path):
     """A JPEG written by the Java image library, as it is and with an orientation tag put in."""
     jvm = spark._jvm
